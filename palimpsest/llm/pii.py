@@ -107,7 +107,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float, bool]]:
         base = prior in BASE_KINDS
         if base or score >= MIN_SCORE:
             out.append((kind, start, end, min(1.0, max(0.0, round(score, 2))), base))
-    firm = sorted((s, e) for _, s, e, _, base in out if base)
+    firm = sorted((s, e) for kind, s, e, _, base in out if base or kind == "iban")
     starts = np.array([s for s, _ in firm])
     ends = np.maximum.accumulate([e for _, e in firm]) if firm else starts
     kept = []
