@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.scratch import map_arrow
 from palimpsest.llm.textkernel import Chunk, Words, chunks, code_points, span_hashes, words_of
 
 #: A repeat is counted from this many words on.
@@ -193,7 +194,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     """
     source = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
-    return source.mapInArrow(lambda it: _drop_text(measure_batches(it, "__text", min_repeat)), f"{fields}, {MEASURES}")
+    return map_arrow(source, lambda it: _drop_text(measure_batches(it, "__text", min_repeat)), f"{fields}, {MEASURES}")
 
 
 def verdict(
