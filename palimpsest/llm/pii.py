@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.scratch import map_arrow
 from palimpsest.llm.textkernel import chunks
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -170,19 +171,21 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     """
     source = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").alias("__text"))
     kept = source.drop("__text")
+    names = [*kept.columns, "spans"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in span_batches(it, "__text", False):
-            yield b.drop_columns(["__text"]).rename_columns([*kept.columns, "spans"])
+            yield b.drop_columns(["__text"]).rename_columns(names)
 
-    return source.mapInArrow(run, f"{_fields(kept)}, spans {SPAN}" if keep else f"spans {SPAN}")
+    return map_arrow(source, run, f"{_fields(kept)}, spans {SPAN}" if keep else f"spans {SPAN}")
 
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts and digests of ``find``'s spans: n_<kind> and base_sha256 of the base kinds, all spans as text."""
     base = F.filter("spans", lambda s: s["base"])
     written = lambda a: F.concat_ws(",", F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-    counts = {f"n_{k}": F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long") for k in BASE_KINDS}
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = {f"n_{k}": number(k) for k in BASE_KINDS}
     return found.select("doc_id", *(v.alias(k) for k, v in counts.items()), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
@@ -201,7 +204,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
             spans = b.column(b.num_columns - 1)
             yield b.drop_columns(["__spans"]).append_column("__hit", pa.array(spans.value_lengths().to_numpy(False) > 0))
 
-    out = marked.mapInArrow(run, f"{_fields(marked)}, __hit boolean")
+    out = map_arrow(marked, run, f"{_fields(marked)}, __hit boolean")
     if length in names:
         n = f"__c{names.index(length)}"
         out = out.withColumn(n, F.when(F.col("__hit"), F.length(at).cast(marked.schema[n].dataType)).otherwise(F.col(n)))
