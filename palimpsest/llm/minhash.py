@@ -1,15 +1,17 @@
 """MinHash near-duplicates: universal hash minima, banding, signature and exact verification, components.
 
 1. One pass over the texts gives each document its number of distinct shingles, a 128-bit fingerprint
-   of the shingle set, ``BANDS * ROWS`` universal hash minima and a key for each band of ``ROWS``.
+   of the shingle set, ``BANDS * ROWS`` universal hash minima (a byte of each is kept as signature)
+   and a key for each band of ``ROWS``.
 2. Documents with equal sets form a class; only its smallest id goes on.
 3. Within each bucket of a band every member is compared with one pivot, the smallest id.  The
    minimum is combined before the shuffle, and no bucket is ever listed as all its pairs.
-4. A pair goes on if the minima agree often enough, and becomes a link if its full sets do.
-5. Links join classes by large-star and small-star.  Where members of a bucket are still in several
-   components, those outside the pivot's are compared with the members of the other components, so
-   no link between two components is lost.  Should that be many comparisons, further pivots are
-   tried first.
+4. A pair goes on if the signatures agree often enough, and becomes a link if its full sets do.
+5. Links join classes by large-star and small-star.  A member of a bucket that is not in its pivot's
+   component is compared with two further members, another in each bucket.
+6. Those still outside are compared with all members of other components in their buckets, in blocks
+   of ``BLOCK`` signatures; only pairs whose signatures agree leave a block.  So no link between two
+   components of a bucket is lost.
 
 A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**42, over 0.999997.
 """
@@ -30,11 +32,11 @@ from palimpsest.llm.textkernel import chunks, mix, shingle_hashes, words_of
 BANDS, ROWS = 42, 6
 #: Default shingle length in words, and similarity in percent.
 SHINGLE, PERCENT = 5, 80
-#: Pairs whose share of equal minima is lower than the similarity by more than this are no candidates:
-#: six standard deviations of the share at 252 minima.
-SLACK = 0.15
-#: Further pivots are tried while the comparisons left exceed this many for each document.
-PAIRS_PER_DOC, MORE_PIVOTS = 8, 4
+#: Pairs whose estimated similarity is lower than asked by more than this are no candidates: over four
+#: standard deviations of the estimate by 252 minima.
+SLACK = 0.11
+#: Signatures of either side that are compared at once.
+BLOCK = 256
 
 _rng = np.random.default_rng(7919)
 _A = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -72,6 +74,16 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def signature_of(least: np.ndarray) -> bytes:
+    """A byte of each minimum; those of different minima agree once in 256."""
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
+def estimated(agreeing: np.ndarray) -> np.ndarray:
+    """Similarity estimated from the share of agreeing bytes."""
+    return (agreeing - 1 / 256) / (1 - 1 / 256)
+
+
 def band_keys(signature: np.ndarray) -> np.ndarray:
     rows = signature.reshape(BANDS, ROWS).astype(np.uint64)
     key = _BAND.copy()
@@ -93,7 +105,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.R
                 f1.append(mix(s).sum(dtype=np.uint64))
                 f2.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 if len(s):
-                    signatures.append((m := minima(s)).tobytes())
+                    signatures.append(signature_of(m := minima(s)))
                     bands.append(band_keys(m))
                 else:
                     signatures.append(None)
@@ -117,14 +129,47 @@ def features(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose set sizes allow the similarity and whose minima agree often enough."""
+    """Pairs whose signatures agree often enough."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for x in ("sa", "sb"))
+        keep = estimated((a == b).mean(axis=1)) >= percent / 100 - SLACK
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components within runs of equal (key, bu, bv), one outsider and one member."""
+    rest: pa.Table | None = None
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        at = np.stack([t.column(x).to_numpy() for x in ("key", "bu", "bv")])
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
+        doc, component, outsider = (t.column(x).to_numpy() for x in ("doc_id", "component", "outsider"))
+        marks = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        us, vs = [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            x, y = lo + np.flatnonzero(outsider[lo:hi]), lo + np.flatnonzero(~outsider[lo:hi])
+            for at_x in range(0, len(x), BLOCK // 8):
+                part = x[at_x : at_x + BLOCK // 8]
+                share = np.stack([(marks[y] == marks[i]).mean(axis=1) for i in part]) if len(y) else np.zeros((len(part), 0))
+                p, q = np.nonzero((estimated(share) >= percent / 100 - SLACK) & (component[part][:, None] != component[y][None, :]))
+                us.append(np.minimum(doc[part[p]], doc[y[q]]))
+                vs.append(np.maximum(doc[part[p]], doc[y[q]]))
+        both = [np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs)]
+        return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in both], ["u", "v"])
+
     for batch in batches:
-        keep = []
-        a, b = batch.column("sa"), batch.column("sb")
-        for x, y in zip(a, b, strict=True):
-            same = np.frombuffer(x.as_buffer(), np.uint32) == np.frombuffer(y.as_buffer(), np.uint32)
-            keep.append(same.mean() >= percent / 100 - SLACK)
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+        last = [t.column(x)[-1].as_py() for x in ("key", "bu", "bv")] if t.num_rows else None
+        if last is None:
+            continue
+        at = np.stack([t.column(x).to_numpy() for x in ("key", "bu", "bv")])
+        whole = int(np.argmax((at == np.array(last)[:, None]).all(axis=0)))
+        if whole:
+            yield pairs(t.slice(0, whole))
+        rest = t.slice(whole)
+    if rest is not None:
+        yield pairs(rest)
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -138,22 +183,38 @@ def _set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
 class _Links:
     """Finds links among candidate pairs (u < v) of class representatives."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, text: str, k: int, percent: int):
-        self.source, self.reps, self.k, self.percent = _source(docs, text), reps, k, percent
+    def __init__(self, found: DataFrame, sets: DataFrame, percent: int):
+        self.found, self.sets, self.percent = found, sets, percent
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        side = lambda p: self.reps.select(F.col("doc_id").alias(p), F.col("n_shingles").alias(f"n{p}"), F.col("signature").alias("sa" if p == "u" else "sb"))
-        percent, k = self.percent, self.k
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Those whose set sizes allow the similarity and whose signatures agree."""
+        side = lambda p, s: self.found.select(F.col("doc_id").alias(p), F.col("n_shingles").alias(f"n{p}"), F.col("signature").alias(s))
+        percent = self.percent
         fits = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
-        likely = map_arrow(pairs.join(side("u"), "u").join(side("v"), "v").filter(fits), lambda it: _agreeing(it, percent), "u long, v long")
-        likely = cut(likely.distinct())
-        ids = likely.select(F.col("u").alias("doc_id")).union(likely.select("v")).distinct()
-        sets = cut(map_arrow(self.source.join(ids, "doc_id", "left_semi"), lambda it: _set_batches(it, k), "doc_id long, shingles array<long>"))
-        both = likely.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(
-            sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v"
-        )
+        both = pairs.join(side("u", "sa"), "u").join(side("v", "sb"), "v").filter(fits)
+        return map_arrow(both, lambda it: _agreeing(it, percent), "u long, v long")
+
+    def confirmed(self, likely: DataFrame) -> DataFrame:
+        """Those whose full sets have the similarity."""
+        side = lambda p, s: self.sets.select(F.col("doc_id").alias(p), F.col("shingles").alias(s))
+        both = likely.join(side("u", "a"), "u").join(side("v", "b"), "v")
         common = F.size(F.array_intersect("a", "b"))
-        return cut(both.filter(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v").distinct())
+        return cut(both.filter(100 * common >= self.percent * (F.size("a") + F.size("b") - common)).select("u", "v"))
+
+
+def _outsiders(members: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of buckets of three or more that span components, with n, n_out, and whether each is outside its pivot's."""
+    placed = members.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = placed.groupBy("key").agg(
+        F.count("*").alias("n"), F.min_by("component", "doc_id").alias("main"), F.min("component").alias("least"), F.max("component").alias("most"),
+        F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "key")).alias("other"),
+    )
+    return cut(placed.join(mixed.filter("least < most and n > 2"), "key").select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("outsider"), "n", "other"))
+
+
+def _apart(x: DataFrame) -> DataFrame:
+    """Distinct pairs (u < v) of x and y that lie in different components."""
+    return x.filter("cx <> cy").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -168,40 +229,44 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, perce
     found = cut(features(docs, text, k))
     known = found.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = known.join(classes.select("f1", "f2", "n_shingles", F.col("rep").alias("doc_id")), ["doc_id", "f1", "f2", "n_shingles"], "left_semi")
+    reps = known.select("doc_id", "f1", "f2", "n_shingles", "bands").join(
+        classes.select("f1", "f2", "n_shingles", F.col("rep").alias("doc_id")), ["doc_id", "f1", "f2", "n_shingles"], "left_semi"
+    )
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last").drop("last")
     members = cut(banded.join(shared, "key"))
-    links = _Links(docs, reps.select("doc_id", "n_shingles", "signature"), text, k, percent)
+    concerned = members.select("doc_id").distinct()
+    sets = cut(map_arrow(_source(docs, text).join(concerned, "doc_id", "left_semi"), lambda it: _set_batches(it, k), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
+    links = _Links(known.dropDuplicates(["doc_id"]).join(concerned, "doc_id", "left_semi").select("doc_id", "n_shingles", "signature"), sets, percent)
     tested = cut(members.filter("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct())
-    edges = links.confirmed(tested)
-    component = cut(connected_components(edges))
-
-    size = None
-    for turn in range(MORE_PIVOTS + 1):
-        placed = members.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        pivots = component.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
-        placed = placed.join(pivots, "pivot", "left").withColumn("outside", F.col("component") != F.coalesce("pivot_component", "pivot"))
-        mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("outside").alias("out")).filter("out > 0")
-        placed = cut(placed.join(mixed, "key").select("key", "doc_id", "component", "outside", "n", "out"))
-        left = float(placed.filter("outside").agg(F.sum("n")).first()[0] or 0)
-        if not left:
-            break
-        outer = placed.filter("outside")
-        size = size or found.count()
-        last = left <= PAIRS_PER_DOC * size or turn == MORE_PIVOTS
-        if not last:
-            outer = outer.groupBy("key").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", F.lit(turn))).alias("p")).select("key", "p.*")
-        a, b = outer.select("key", F.col("doc_id").alias("x"), F.col("component").alias("cx")), placed.select("key", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
-        pairs = a.join(b, "key").filter("cx <> cy").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
+    edges = links.confirmed(links.likely(tested))
+    component = connected_components(edges)
+    members = members.select("key", "doc_id")
+
+    placed = _outsiders(members, component)
+    if placed.head(1):
+        outer = placed.filter("outsider").select("key", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("other.doc_id").alias("y"), F.col("other.component").alias("cy"))
+        beside = outer.groupBy("key").agg(F.min_by(F.struct(F.col("x").alias("y"), F.col("cx").alias("cy")), F.xxhash64("x", "key")).alias("p"))
+        beside = outer.drop("y", "cy").join(beside, "key").select("key", "x", "cx", "p.y", "p.cy")
+        pairs = cut(_apart(outer.unionByName(beside)).join(tested, ["u", "v"], "left_anti"))
+        more = links.confirmed(links.likely(pairs))
+        tested, edges = tested.unionByName(pairs), edges.unionByName(more)
+        component = connected_components(edges)
+        placed = _outsiders(members, component)
+    if placed.head(1):
+        sized = placed.groupBy("key").agg(F.count_if("outsider").alias("n_out"))
+        nu, nv = F.ceil(F.col("n_out") / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
+        spread = placed.join(sized, "key").join(links.found.select("doc_id", "signature"), "doc_id").withColumns({"nu": nu, "nv": nv})
+        others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+        payload = ["key", "doc_id", "component", "signature"]
+        rows = spread.filter("outsider").select(*payload, own("nu").alias("bu"), others("nv").alias("bv"), F.lit(True).alias("outsider"))
+        rows = rows.unionByName(spread.select(*payload, others("nu").alias("bu"), own("nv").alias("bv"), F.lit(False).alias("outsider")))
+        dealt = rows.repartition("key", "bu", "bv").sortWithinPartitions("key", "bu", "bv")
+        pairs = map_arrow(dealt, lambda it: _blocks(it, percent), "u long, v long").distinct().join(tested, ["u", "v"], "left_anti")
         more = links.confirmed(pairs)
-        edges = edges.unionByName(more)
         if more.head(1):
-            component = cut(connected_components(edges))
-        if last:
-            break
-        tested = cut(tested.unionByName(pairs))
+            component = connected_components(edges.unionByName(more))
 
     rows = found.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left")
     rows = rows.join(component.withColumnRenamed("node", "rep"), "rep", "left")
