@@ -1,27 +1,58 @@
-"""A training-data pipeline over documents: each stage's result is written and read again by the next."""
+"""A training-data pipeline over documents.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the
+columns of documents; the last returns the packed pieces.  Each stage's result is written as Parquet
+and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import pii, quality
+from palimpsest.llm import minhash, mixing, packing, pii, quality, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
     return quality.filter_documents(docs)
 
 
-def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    return minhash.deduplicate(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind."""
     return pii.redact(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("pii", redact_pii)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their ids, sequence and offset."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("minhash near-dedup", near_duplicates),
+    ("pii", personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
+#: SQL has neither suffix arrays nor tokenizers; the tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = scratch.cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
