@@ -1,6 +1,6 @@
 """Mixing sources to target weights by systematic sampling, in DataFrame operations only.
 
-Each source's share of the total size is proportional to its weight but at most ``max_epochs`` times
+Each source's share of the total size is proportional to its weight but at most ``max_repeats`` times
 its own size; what it can't take is shared among the others by weight.  Within a source the documents
 are put in order of size, their expected copies (target / source size) are summed up in that order,
 and a document is taken once for each integer that the sum, plus one offset of the source, passes.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
-MAX_EPOCHS = 3
+MAX_REPEATS = 3
 SEED = 17
 
 
@@ -27,7 +27,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """source, source_size and target of each source, given (source, size) rows.
 
     Sources by code point, null last, have the given weights in turn.  With the sources in order of
@@ -37,7 +37,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.element_at(F.array(*(F.lit(int(w)) for w in weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    weighed = per.withColumn("weight", turn).withColumn("cap", max_epochs * F.col("source_size"))
+    weighed = per.withColumn("weight", turn).withColumn("cap", max_repeats * F.col("source_size"))
     everything = Window.partitionBy()
     filling = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(filling), F.lit(0))
@@ -53,7 +53,7 @@ def _hex(text: Column, digits: int) -> Column:
 
 
 def sampled(
-    docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED
+    docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED
 ) -> DataFrame:
     """The rows with columns size, source_size, target and copies added, each row once.
 
@@ -66,7 +66,7 @@ def sampled(
     size_class = 32 * bits + F.expr("shiftright(size, cast(greatest(length(bin(size)) - 5, 0) as int))")
     named = docs.withColumns({"size": F.coalesce(size, F.lit(0)).cast("long"), "__source": F.col(f"`{source}`")})
     placed = named.withColumns({"__class": size_class, "__bucket": _hex(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), 2)})
-    goal = targets(placed.select(F.col("__source").alias("source"), "size"), weights, max_epochs)
+    goal = targets(placed.select(F.col("__source").alias("source"), "size"), weights, max_repeats)
     group = ["__source", "__class", "__bucket"]
     before = Window.partitionBy("__source").orderBy("__class", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy(*group).agg(F.count("*").alias("n"))
@@ -82,7 +82,7 @@ def sampled(
     rank = F.col("__before") + F.col("__within")
     upto = lambda r: F.floor(F.col("__share") * r.cast("double") + F.col("__offset"))
     counted = ranked.withColumns({"__share": share, "__offset": offset, "__rank": rank})
-    copies = F.least(upto(F.col("__rank")) - upto(F.col("__rank") - 1), F.lit(max_epochs)).cast("long")
+    copies = F.least(upto(F.col("__rank")) - upto(F.col("__rank") - 1), F.lit(max_repeats)).cast("long")
     return counted.withColumn("copies", copies).select(*docs.columns, "size", "source_size", "target", "copies")
 
 
