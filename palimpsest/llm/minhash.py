@@ -10,7 +10,8 @@
 5. Links join classes by large-star and small-star.  A member of a bucket that is not in its pivot's
    component is compared with two further members, another in each bucket.
 6. Those still outside are compared with all members of other components in their buckets, in blocks
-   of ``BLOCK`` signatures; only pairs whose signatures agree leave a block.  So no link between two
+   of ``BLOCK`` documents that hold signatures and sets: each pair in the first band that it shares,
+   by its signatures and then by its sets.  Only links leave a block, and none between two
    components of a bucket is lost.
 
 A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**42, over 0.999997.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,27 +138,41 @@ def _agreeing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within runs of equal (key, bu, bv), one outsider and one member."""
-    rest: pa.Table | None = None
+def _block_pairs(t: pa.Table, percent: int) -> pa.RecordBatch:
+    """Links between components within runs of equal (key, bu, bv), one outsider and one member."""
+    at = np.stack([t.column(x).to_numpy() for x in ("key", "bu", "bv")])
+    cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
+    doc, component, outsider, size = (t.column(x).to_numpy() for x in ("doc_id", "component", "outsider", "n_shingles"))
+    marks = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    bands = pc.list_flatten(t.column("bands")).to_numpy().reshape(-1, BANDS)
+    folded = [np.frombuffer(x, np.uint32) for x in t.column("folded").to_pylist()]
+    us, vs = [], []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        x, y = lo + np.flatnonzero(outsider[lo:hi]), lo + np.flatnonzero(~outsider[lo:hi])
+        band = int(np.argmax(bands[lo] == at[0, lo]))
+        for i in x.tolist():
+            z = y[component[y] != component[i]]
+            z = z[100 * np.minimum(size[z], size[i]) >= percent * np.maximum(size[z], size[i])]
+            z = z[~(bands[z, :band] == bands[i, :band]).any(axis=1)]
+            z = z[estimated((marks[z] == marks[i]).mean(axis=1)) >= percent / 100 - SLACK]
+            if not len(z):
+                continue
+            # folding never loses a common shingle, so no link is missed; the few more are confirmed later
+            lens = np.array([len(folded[q]) for q in z])
+            joined = np.concatenate([folded[q] for q in z])
+            own = folded[i]
+            hit = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
+            common = np.add.reduceat(hit, np.cumsum(lens) - lens)
+            z = z[100 * common >= percent * (size[z] + size[i] - common)]
+            us.append(np.minimum(doc[i], doc[z]))
+            vs.append(np.maximum(doc[i], doc[z]))
+    both = [np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs)]
+    return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in both], ["u", "v"])
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        at = np.stack([t.column(x).to_numpy() for x in ("key", "bu", "bv")])
-        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
-        doc, component, outsider = (t.column(x).to_numpy() for x in ("doc_id", "component", "outsider"))
-        marks = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        us, vs = [], []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            x, y = lo + np.flatnonzero(outsider[lo:hi]), lo + np.flatnonzero(~outsider[lo:hi])
-            for at_x in range(0, len(x), BLOCK // 8):
-                part = x[at_x : at_x + BLOCK // 8]
-                share = np.stack([(marks[y] == marks[i]).mean(axis=1) for i in part]) if len(y) else np.zeros((len(part), 0))
-                p, q = np.nonzero((estimated(share) >= percent / 100 - SLACK) & (component[part][:, None] != component[y][None, :]))
-                us.append(np.minimum(doc[part[p]], doc[y[q]]))
-                vs.append(np.maximum(doc[part[p]], doc[y[q]]))
-        both = [np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs)]
-        return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in both], ["u", "v"])
 
+def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """``_block_pairs`` over sorted rows that may be cut anywhere into batches."""
+    rest: pa.Table | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
@@ -166,18 +182,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         at = np.stack([t.column(x).to_numpy() for x in ("key", "bu", "bv")])
         whole = int(np.argmax((at == np.array(last)[:, None]).all(axis=0)))
         if whole:
-            yield pairs(t.slice(0, whole))
+            yield _block_pairs(t.slice(0, whole), percent)
         rest = t.slice(whole)
     if rest is not None:
-        yield pairs(rest)
+        yield _block_pairs(rest, percent)
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            sets = pa.array([s.view(np.int64) for s in shingle_sets(part.column(1), k)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "shingles"])
+            sets = list(shingle_sets(part.column(1), k))
+            whole = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            folded = pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), whole, folded], ["doc_id", "shingles", "folded"])
 
 
 class _Links:
@@ -236,8 +254,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, perce
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last").drop("last")
     members = cut(banded.join(shared, "key"))
     concerned = members.select("doc_id").distinct()
-    sets = cut(map_arrow(_source(docs, text).join(concerned, "doc_id", "left_semi"), lambda it: _set_batches(it, k), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
-    links = _Links(known.dropDuplicates(["doc_id"]).join(concerned, "doc_id", "left_semi").select("doc_id", "n_shingles", "signature"), sets, percent)
+    sets = cut(map_arrow(_source(docs, text).join(concerned, "doc_id", "left_semi"), lambda it: _set_batches(it, k), "doc_id long, shingles array<long>, folded binary").dropDuplicates(["doc_id"]))
+    links = _Links(known.dropDuplicates(["doc_id"]).join(concerned, "doc_id", "left_semi").select("doc_id", "n_shingles", "signature", "bands"), sets, percent)
     tested = cut(members.filter("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct())
     edges = links.confirmed(links.likely(tested))
     component = connected_components(edges)
@@ -256,10 +274,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, perce
     if placed.head(1):
         sized = placed.groupBy("key").agg(F.count_if("outsider").alias("n_out"))
         nu, nv = F.ceil(F.col("n_out") / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
-        spread = placed.join(sized, "key").join(links.found.select("doc_id", "signature"), "doc_id").withColumns({"nu": nu, "nv": nv})
+        spread = placed.join(sized, "key").join(links.found, "doc_id").join(sets.select("doc_id", "folded"), "doc_id").withColumns({"nu": nu, "nv": nv})
         others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-        payload = ["key", "doc_id", "component", "signature"]
+        payload = ["key", "doc_id", "component", "n_shingles", "signature", "bands", "folded"]
         rows = spread.filter("outsider").select(*payload, own("nu").alias("bu"), others("nv").alias("bv"), F.lit(True).alias("outsider"))
         rows = rows.unionByName(spread.select(*payload, others("nu").alias("bu"), own("nv").alias("bv"), F.lit(False).alias("outsider")))
         dealt = rows.repartition("key", "bu", "bv").sortWithinPartitions("key", "bu", "bv")
