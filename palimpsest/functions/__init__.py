@@ -1,0 +1 @@
+"""Value semantics of the query language as column expressions."""

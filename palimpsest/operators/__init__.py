@@ -1,0 +1 @@
+"""Operators over commit graphs, each a composition of DataFrame operations."""

@@ -1,0 +1 @@
+"""From syntax trees to DataFrames."""

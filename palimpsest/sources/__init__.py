@@ -1,0 +1 @@
+"""Where commit graphs come from: driver tables and repositories."""
