@@ -35,7 +35,9 @@ def literal(kind: str, value: object) -> Value:
     return Value(kind, F.lit(value).cast(SPARK_TYPES[kind]))
 
 
-NULL = literal("null", None)
+def null() -> Value:
+    """The value of a missing property."""
+    return literal("null", None)
 
 
 def _fold(c: Column) -> Column:

@@ -64,16 +64,16 @@ def shortest_path(graph: Graph, a: int, b: int) -> DataFrame:
     jumps = settle(cross.select("c_lane", "c_pos", "p_lane", "p_pos").unionByName(down.select("c_lane", "c_pos", "p_lane", "p_pos")).unionByName(flip(cross)).distinct())
     portals = jumps.select(F.col("c_lane").alias("lane"), F.col("c_pos").alias("to")).unionByName(ends.select("lane", F.col("pos").alias("to"))).distinct()
     portals = settle(portals.join(tops, "lane", "left"))
-    node = lambda lane, pos: F.struct(F.col(lane).alias("lane"), F.col(pos).alias("pos"))
-    start, goal = (graph.places([x]).select("lane", "pos").first() for x in (a, b))
-    begin = ends.filter(F.col("commit_id") == a).select("lane", "pos", F.struct(F.lit(0).cast("long").alias("d"), F.array(node("lane", "pos")).alias("by")).alias("way"))
+    node = lambda lane, pos, jumped: F.struct(F.col(lane).alias("lane"), F.col(pos).alias("pos"), F.lit(jumped).alias("jumped"))
+    goal = graph.places([b]).select("lane", "pos").first()
+    begin = ends.filter(F.col("commit_id") == a).select("lane", "pos", F.struct(F.lit(0).cast("long").alias("d"), F.array(node("lane", "pos", False)).alias("by")).alias("way"))
     found = fresh = settle(begin)
     while True:
         along = fresh.join(portals, "lane").filter("to < pos or to > pos and to <= top").select(
-            "lane", F.col("to").alias("pos"), F.struct((F.col("way.d") + F.abs(F.col("to") - F.col("pos"))).alias("d"), F.concat("way.by", F.array(node("lane", "to"))).alias("by")).alias("new")
+            "lane", F.col("to").alias("pos"), F.struct((F.col("way.d") + F.abs(F.col("to") - F.col("pos"))).alias("d"), F.concat("way.by", F.array(node("lane", "to", False))).alias("by")).alias("new")
         )
         over = fresh.join(jumps, (F.col("lane") == F.col("c_lane")) & (F.col("pos") == F.col("c_pos"))).select(
-            F.col("p_lane").alias("lane"), F.col("p_pos").alias("pos"), F.struct((F.col("way.d") + 1).alias("d"), F.concat("way.by", F.array(node("p_lane", "p_pos"))).alias("by")).alias("new")
+            F.col("p_lane").alias("lane"), F.col("p_pos").alias("pos"), F.struct((F.col("way.d") + 1).alias("d"), F.concat("way.by", F.array(node("p_lane", "p_pos", True))).alias("by")).alias("new")
         )
         reached = found.filter((F.col("lane") == goal["lane"]) & (F.col("pos") == goal["pos"])).select("way.d").first()
         moved = along.unionByName(over)
@@ -84,10 +84,9 @@ def shortest_path(graph: Graph, a: int, b: int) -> DataFrame:
         if fresh.isEmpty():
             break
         found = settle(found.unionByName(fresh).groupBy("lane", "pos").agg(F.min("way").alias("way")))
-    del start
     by = found.filter((F.col("lane") == goal["lane"]) & (F.col("pos") == goal["pos"])).select("way.by")
     legs = by.select("by", F.posexplode("by").alias("i", "to")).withColumn("from", F.when(F.col("i") > 0, F.try_element_at("by", F.col("i"))))
-    same = F.col("from").isNotNull() & (F.col("from.lane") == F.col("to.lane"))
+    same = F.col("from").isNotNull() & ~F.col("to.jumped")
     sign = F.when(F.col("to.pos") > F.col("from.pos"), 1).otherwise(-1)
     places = F.when(same, F.sequence(F.col("from.pos") + sign, F.col("to.pos"))).otherwise(F.array("to.pos"))
     steps = legs.select("i", "to.lane", F.posexplode(places).alias("j", "pos"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import functions as F
 
 from palimpsest.errors import ExecutionError
-from palimpsest.functions.values import NULL, SPARK_TYPES, Value, equal, literal, truth
+from palimpsest.functions.values import SPARK_TYPES, Value, equal, literal, null, truth
 from palimpsest.language.syntax import Binary, Expression, Item, Literal, MapLiteral, Property, Variable
 from palimpsest.operators.state import column_of
 
@@ -34,7 +34,7 @@ class Bound:
         kind = OWN.get(name)
         if kind:
             return Value(kind, F.col(self.prefix + name))
-        return Value("string", F.col(self.prefix + column_of(name, self.keys))) if name in self.keys else NULL
+        return Value("string", F.col(self.prefix + column_of(name, self.keys))) if name in self.keys else null()
 
 
 Scope = dict[str, Bound]
@@ -45,14 +45,14 @@ def evaluate(e: Expression, scope: Scope) -> Value:
     if isinstance(e, Literal):
         return literal(e.type, e.value)
     if isinstance(e, MapLiteral):
-        return Value("map", NULL.column, {k: evaluate(v, scope) for k, v in e.entries.items()})
+        return Value("map", null().column, {k: evaluate(v, scope) for k, v in e.entries.items()})
     if isinstance(e, Variable):
         return _bound(e, scope).property("hash")
     if isinstance(e, Property):
         if isinstance(e.of, Variable):
             return _bound(e.of, scope).property(e.name)
         inside = evaluate(e.of, scope)
-        return (inside.entries or {}).get(e.name, NULL)
+        return (inside.entries or {}).get(e.name) or null()
     a, b = evaluate(e.left, scope), evaluate(e.right, scope)
     if e.op == "AND":
         return Value("bool", truth(a) & truth(b))

@@ -1,0 +1 @@
+"""Streams of changes into repositories."""
