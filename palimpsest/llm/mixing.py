@@ -59,13 +59,16 @@ def sampled(
 
     A row of null size counts as 0.  Rows of a source whose sizes are all 0 get no copies.  A null
     source is a source of its own, the last.  Equal rows are taken in any order; a run over the same
-    rows gives the same copies.  The added names must not be among the columns; an empty table gives
-    an empty result.
+    rows gives the same copies.  A column that has the name of an added one is replaced; an empty
+    table gives an empty result.
     """
+    names = docs.columns
+    own = {n: f"__c{i}" for i, n in enumerate(names)}
     bits = F.length(F.bin("size"))
     size_class = 32 * bits + F.expr("shiftright(size, cast(greatest(length(bin(size)) - 5, 0) as int))")
-    named = docs.withColumns({"size": F.coalesce(size, F.lit(0)).cast("long"), "__source": F.col(f"`{source}`")})
-    placed = named.withColumns({"__class": size_class, "__bucket": _hex(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), 2)})
+    named = docs.select(*(F.col(f"`{n}`").alias(c) for n, c in own.items()), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    key = own[key]
+    placed = named.withColumns({"__source": F.col(own[source]).cast("string"), "__class": size_class, "__bucket": _hex(F.coalesce(F.col(key).cast("string"), F.lit("")), 2)})
     goal = targets(placed.select(F.col("__source").alias("source"), "size"), weights, max_repeats)
     group = ["__source", "__class", "__bucket"]
     before = Window.partitionBy("__source").orderBy("__class", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,7 +76,7 @@ def sampled(
     counts = counts.select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     starts = counts.join(goal.withColumnRenamed("source", "__g"), F.col("__source").eqNullSafe(F.col("__g"))).drop("__g")
     starts = starts.select(*(F.col(c).alias(f"{c}_") for c in group), "__before", "source_size", "target")
-    within = F.row_number().over(Window.partitionBy(*group).orderBy("size", F.col(f"`{key}`")))
+    within = F.row_number().over(Window.partitionBy(*group).orderBy("size", key))
     ranked = placed.withColumn("__within", within).join(
         starts, F.col("__source").eqNullSafe(F.col("__source_")) & (F.col("__class") == F.col("__class_")) & (F.col("__bucket") == F.col("__bucket_"))
     )
@@ -83,7 +86,8 @@ def sampled(
     upto = lambda r: F.floor(F.col("__share") * r.cast("double") + F.col("__offset"))
     counted = ranked.withColumns({"__share": share, "__offset": offset, "__rank": rank})
     copies = F.least(upto(F.col("__rank")) - upto(F.col("__rank") - 1), F.lit(max_repeats)).cast("long")
-    return counted.withColumn("copies", copies).select(*docs.columns, "size", "source_size", "target", "copies")
+    added = ("size", "source_size", "target", "copies")
+    return counted.withColumn("copies", copies).select(*(F.col(c).alias(n) for n, c in own.items() if n not in added), *added)
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options: object) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text handled at once by a Python worker, in bytes.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
 _SEPARATOR = np.zeros(256, bool)

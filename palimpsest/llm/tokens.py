@@ -17,7 +17,7 @@ import tiktoken
 from palimpsest.llm.textkernel import _SEPARATOR, Chunk, span_hashes
 
 #: Units that a worker keeps at most, then it starts anew; longer units than this, in bytes, are not kept.
-KEEP, LONGEST = 500_000, 64
+KEEP, LONGEST = 300_000, 64
 _BLANKS = {bytes([x]) for x in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)}
 
 
