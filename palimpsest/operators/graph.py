@@ -19,6 +19,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +47,10 @@ class Graph:
     head: str
 
     def settled(self) -> Graph:
-        """The same graph with its tables written once, for several passes over them."""
+        """The same graph with its tables written once, side by side, for several passes over them."""
         tables = (self.commits, self.edges, self.ops, self.lanes, self.cross, self.refs)
-        return Graph(self.spark, *(settle(t) for t in tables), self.head)
+        with ThreadPoolExecutor(len(tables)) as pool:
+            return Graph(self.spark, *pool.map(settle, tables), self.head)
 
     def tips(self) -> DataFrame:
         """commit_id, lane, pos of every branch's tip."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +15,16 @@ def reach(graph: Graph, seeds: DataFrame) -> DataFrame:
 
     ``seeds`` has lane and pos.
     """
-    ranges = settle(seeds.groupBy("lane").agg(F.max("pos").alias("top")))
-    fresh = ranges
+    fresh = settle(seeds.groupBy("lane").agg(F.max("pos").alias("top")))
+    found = [fresh]
     while True:
+        ranges = reduce(DataFrame.unionByName, found).groupBy("lane").agg(F.max("top").alias("top"))
         over = graph.cross.join(fresh, F.col("c_lane") == F.col("lane")).filter("c_pos <= top")
-        found = over.groupBy(F.col("p_lane").alias("lane")).agg(F.max("p_pos").alias("new"))
-        fresh = settle(found.join(ranges, "lane", "left").filter("top is null or new > top").select("lane", F.col("new").alias("top")))
+        moved = over.groupBy(F.col("p_lane").alias("lane")).agg(F.max("p_pos").alias("new"))
+        fresh = settle(moved.join(ranges, "lane", "left").filter("top is null or new > top").select("lane", F.col("new").alias("top")))
         if fresh.isEmpty():
             return ranges
-        ranges = settle(ranges.unionByName(fresh).groupBy("lane").agg(F.max("top").alias("top")))
+        found.append(fresh)
 
 
 def within(commits: DataFrame, ranges: DataFrame) -> DataFrame:

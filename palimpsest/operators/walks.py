@@ -8,6 +8,8 @@ length.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +25,17 @@ def _stretches(cross: DataFrame, sources: DataFrame, most: int, down: bool) -> D
     """src, lane, pos, depth of every entry, depths below the bound; ``down`` goes toward the root."""
     came, went = ("c", "p") if down else ("p", "c")
     at = settle(sources.select("src", "lane", "pos", F.lit(0).cast("long").alias("depth")).distinct())
-    every = at
+    found = [at]
     steps = cross.select(F.col(f"{came}_lane").alias("lane"), F.col(f"{came}_pos").alias("leave"), F.col(f"{went}_lane").alias("to_lane"), F.col(f"{went}_pos").alias("to_pos"))
     while True:
         along = F.col("pos") - F.col("leave") if down else F.col("leave") - F.col("pos")
         moved = at.join(steps, "lane").withColumn("along", along).filter(F.col("along") >= 0).withColumn("depth", F.col("depth") + F.col("along") + 1)
         moved = moved.filter(F.col("depth") <= most).select("src", F.col("to_lane").alias("lane"), F.col("to_pos").alias("pos"), "depth").distinct()
+        every = reduce(DataFrame.unionByName, found)
         at = settle(moved.join(every, ["src", "lane", "pos", "depth"], "left_anti"))
         if at.isEmpty():
             return every
-        every = settle(every.unionByName(at))
+        found.append(at)
 
 
 def walks(graph: Graph, sources: DataFrame, least: int, most: int, down: bool, ranges: DataFrame | None = None) -> DataFrame:

@@ -79,8 +79,10 @@ class MatchPlan:
     def __init__(self, graph: Graph, query: Query, context: int):
         self.graph, self.query = graph, query
         self.tops = reach.reachable(graph)
-        seeds = graph.tips().unionByName(graph.places([context]))
-        self.universe = reach.within(graph.commits, reach.reach(graph, seeds))
+        ranges = self.tops
+        if query.context is not None and query.context.kind == "COMMIT":  # branches are reached as it is
+            ranges = reach.reach(graph, graph.tips().unionByName(graph.places([context])))
+        self.universe = reach.within(graph.commits, ranges)
         self.read = [*([query.where] if query.where is not None else []), *(i.expression for i in query.select or [])]
 
     def result(self) -> DataFrame:

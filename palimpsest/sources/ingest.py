@@ -100,3 +100,22 @@ def merged_events(spark: SparkSession, sf_dir: str) -> Graph:
     cross = edges.join(place("child", "c"), "child").join(place("parent", "p"), "parent").filter("not (c_lane = p_lane and ordinal = 0)")
     refs = g.refs.filter("name <> 'main'").unionByName(top.select(F.lit("main").alias("name"), "commit_id"))
     return Graph(g.spark, commits, g.edges.unionByName(edges), ops, g.lanes.unionByName(merges.select("lane", "fork_lane", "fork_pos")), g.cross.unionByName(cross.select(*g.cross.columns)), refs, "main")
+
+
+def deep_history(spark: SparkSession, live_keys: int, commits: int, value_bytes: int = 256) -> Graph:
+    """One long chain: commit i puts key i modulo ``live_keys`` with a value of that many bytes; branch main at the last."""
+    at = spark.range(1, commits + 1)
+    one = F.lit(0).cast("long")
+    made = at.select(
+        F.col("id").alias("commit_id"), _sha(F.lit("deep"), "id").alias("hash"), F.col("id").alias("ts"), F.concat(F.lit("commit "), "id").alias("message"),
+        (F.col("id") - 1).alias("state_base"), one.alias("lane"), F.col("id").alias("pos"),
+    )
+    value = F.rpad(F.concat(F.lit("v"), F.col("id"), F.lit("|")), value_bytes, "x")
+    ops = at.select(
+        F.col("id").alias("commit_id"), one.alias("lane"), F.col("id").alias("pos"), F.lit(0).alias("op_seq"), F.concat(F.lit("k/"), (F.col("id") - 1) % live_keys).alias("key"), value.alias("value")
+    )
+    edges = at.select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent"), F.lit(0).alias("ordinal"))
+    lanes = spark.range(1).select(F.col("id").alias("lane"), F.lit(None).cast("long").alias("fork_lane"), F.lit(None).cast("long").alias("fork_pos"))
+    cross = lanes.select(F.col("lane").alias("c_lane"), one.alias("c_pos"), one.alias("p_lane"), one.alias("p_pos"), F.lit(0).alias("ordinal")).limit(0)
+    refs = spark.range(1).select(F.lit("main").alias("name"), F.lit(commits).cast("long").alias("commit_id"))
+    return Graph(spark, _genesis(spark).unionByName(made), edges, ops, lanes, cross, refs, "main")
