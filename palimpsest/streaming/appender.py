@@ -1,6 +1,6 @@
 """A stream of changes appended to a repository, one commit for each document and batch.
 
-The driver only numbers the batch's commits; a batch's rows go from the stream to the tables without
+The driver only keeps the branches; a batch's changes go from the stream to the tables without
 passing it.  Each document is a branch, made by its first change.  A batch that runs again after a
 failure is recognised by its number and left out.
 """
@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from palimpsest.operators.graph import CROSS
-from palimpsest.sources.repository import SHAPES, Repository
+from palimpsest.operators.graph import settle
+from palimpsest.sources.repository import Repository
 
+#: Tasks that number a batch's documents.
+PARTS = 16
 MARK = "streamed.json"
 
 
@@ -25,22 +27,20 @@ def append_batch(repo: Repository, batch: DataFrame, number: int) -> None:
     if repo.files.exists(MARK) and int(repo.files.read(MARK)) >= number:
         return
     repo.flush()
-    changed = batch.select("document").distinct().count()
     graph = repo.graph()
+    head = repo.head()[1]
     tips = graph.refs.join(graph.commits.select("commit_id", "hash", "lane", "pos"), "commit_id")
-    base = tips.filter(F.col("name") == repo.head_name).select(*(F.col(c).alias(f"head_{c}") for c in ("commit_id", "hash", "lane", "pos")))
     old = tips.select(F.col("name").alias("document"), *(F.col(c).alias(f"tip_{c}") for c in ("commit_id", "hash", "lane", "pos")))
-    first_id, first_lane = repo.reserve(changed)
-    order = F.row_number().over(Window.orderBy("document")) - 1  # one row for each document of the batch
-    new = batch.select("document").distinct().withColumn("i", order).join(old, "document", "left").crossJoin(F.broadcast(base))  # base is one row
+    first_id, first_lane = repo.reserve(PARTS << 33)  # what monotonically_increasing_id may give
     known = F.col("tip_commit_id").isNotNull()
-    pick = lambda c: F.coalesce(f"tip_{c}", f"head_{c}")
-    new = new.select(
+    pick = lambda c: F.coalesce(f"tip_{c}", F.lit(getattr(head, c)))
+    named = batch.select("document").distinct().join(old, "document", "left").repartition(PARTS, "document").withColumn("i", F.monotonically_increasing_id())
+    new = settle(named.select(
         "document", (F.col("i") + first_id).alias("commit_id"), F.sha2(F.concat_ws("|", F.lit("stream"), F.lit(number), "document", pick("hash")), 256).alias("hash"),
         F.lit(number).cast("long").alias("ts"), F.concat(F.lit("batch "), F.lit(number)).alias("message"), pick("commit_id").alias("state_base"),
         F.when(known, F.col("tip_lane")).otherwise(F.col("i") + first_lane).alias("lane"), (pick("pos") + 1).alias("pos"),
-        F.when(~known, F.col("head_lane")).alias("fork_lane"), F.when(~known, F.col("head_pos")).alias("fork_pos"),
-    ).persist()
+        F.when(~known, F.lit(head.lane)).alias("fork_lane"), F.when(~known, F.lit(head.pos)).alias("fork_pos"),
+    ))
     puts = batch.groupBy("document", "key").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
     by = Window.partitionBy("document").orderBy("at", "key")
     ops = puts.withColumn("op_seq", (F.row_number().over(by) - 1).cast("int")).join(new, "document")
@@ -50,14 +50,12 @@ def append_batch(repo: Repository, batch: DataFrame, number: int) -> None:
         "commits": new, "ops": ops, "cross": cross, "lanes": forks,
         "edges": new.select(F.col("commit_id").alias("child"), F.col("state_base").alias("parent"), F.lit(0).alias("ordinal")),
     }
-    assert CROSS == SHAPES["cross"]
     for name, df in rows.items():
         repo.append(name, df)
     repo.branches |= {r["document"]: r["commit_id"] for r in new.select("document", "commit_id").collect()}  # branches are kept by the driver
     repo.forget_lanes()
     repo.flush()
     repo.files.write(MARK, str(number))
-    new.unpersist()
 
 
 def append_stream(repo: Repository, changes: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
