@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -21,10 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
 _shipped: set[str] = set()
+#: Rows that go to a Python worker at once, where the session leaves Spark's default: whole texts are long.
+ROWS_AT_ONCE, SPARK_DEFAULT = "1000", "10000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Once per application, gives the executors' Python workers the modules of this subpackage."""
+    if spark.conf.get(_BATCH, SPARK_DEFAULT) == SPARK_DEFAULT:
+        spark.conf.set(_BATCH, ROWS_AT_ONCE)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -58,17 +64,34 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once and read back."""
     spark = df.sparkSession
     path = f"{folder(spark)}/palimpsest/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes intermediate tables that nothing reads any more, and shuffle files of finished steps.
+
+    Spark removes shuffle files once the driver has collected the plans that wrote them; steps that
+    move much data ask for that, so that disk holds one step's files and not those of all.
+    """
+    names = {x.split("/")[-2] for table in tables for x in table.inputFiles()}
+    for path in [x for x in _written if x.split("/")[-1] in names]:
+        _delete(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    with contextlib.suppress(Exception):
+        sc = spark.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @atexit.register
 def clear() -> None:
     """Deletes the tables written so far; frames that still read them fail afterwards."""
-    for path, spark in list(_written.items()):
-        with contextlib.suppress(Exception):
-            sc = spark.sparkContext
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-        _written.pop(path, None)
+    for path in list(_written):
+        _delete(path)

@@ -13,6 +13,7 @@ their extents.
 2. Windows of the same key are joined with those of the smallest document that has the key (a
    minimum combined before the shuffle), never pairwise.  The intervals of a pair of documents are
    merged into a hull on either side.
+   Texts are fetched once, cut to the words that any such window of theirs spans.
 3. Within the hulls common shingles are chained along the diagonal; a chain of the passage length is
    verified by its full shingle sets.
 4. Windows whose centre lies in no verified passage meet again without the document they met before,
@@ -31,17 +32,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import connected_components
-from palimpsest.llm.scratch import cut, map_arrow
+from palimpsest.llm.scratch import cut, map_arrow, release
 from palimpsest.llm.textkernel import chunks, mix, shingle_hashes, words_of
 
-FUNCTIONS, ROUNDS = 4, 3
+FUNCTIONS, ROUNDS = 4, 2
 #: Words a shingle, least words a passage, similarity in percent.
 SHINGLE, PASSAGE, PERCENT = 5, 50, 80
 #: Chained matches may skip so many shingles, and move so far off the diagonal.
 GAP = 12
 
 _SEEDS = mix(np.arange(101, 101 + 2 * FUNCTIONS + 2, dtype=np.uint64))
-WINDOWS = "key long, doc_id long, c int, l int, r int"
+#: lr holds both ends of a window, l in the upper half: these rows are by far the most.
+WINDOWS = "key long, doc_id long, c int, lr long"
 
 
 def _sliding_min(values: np.ndarray, length: int) -> np.ndarray:
@@ -126,8 +128,8 @@ def _window_batches(batches: Iterator[pa.RecordBatch], k: int, passage: int) ->
             if not len(heads):
                 continue
             own = ids[c.first + rows[doc[heads]]]
-            columns = [key[heads], own, at[heads].astype(np.int32), np.minimum.reduceat(l, heads).astype(np.int32), np.maximum.reduceat(r, heads).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc_id", "c", "l", "r"])
+            columns = [key[heads], own, at[heads].astype(np.int32), (np.minimum.reduceat(l, heads) << 32) | np.maximum.reduceat(r, heads)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc_id", "c", "lr"])
 
 
 def _chains(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
@@ -175,6 +177,23 @@ def _chains(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tupl
 _SPAN = pa.list_(pa.struct([("a", pa.int32()), ("a_end", pa.int32()), ("b", pa.int32()), ("b_end", pa.int32())]))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Texts from the word lo up to the end of the shingle at hi."""
+    for batch in batches:
+        lo, hi = batch.column("lo").to_numpy(), batch.column("hi").to_numpy()
+        for c in chunks(batch.column("text")):
+            w = words_of(c, hashed=False)
+            if not len(w.starts):
+                continue
+            rows = np.arange(c.first, c.first + c.n)
+            begin = w.starts[np.minimum(w.bounds[:-1] + lo[rows], w.bounds[1:] - 1)]
+            end = w.ends[np.minimum(w.bounds[:-1] + hi[rows] + k - 1, w.bounds[1:] - 1)]
+            raw = c.buf.tobytes()
+            texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
+            part = batch.slice(c.first, c.n)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lo"), pa.array(texts, pa.string())], ["doc_id", "lo", "text"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch], k: int, passage: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v) with verified passages, as word spans with exclusive ends."""
     for batch in batches:
@@ -188,10 +207,10 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, passage: int, percent:
                     whole = shingle_hashes(w.hashes, k)
                     rows += [whole[s : e - k + 1] for s, e in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)]
                 sides.append(rows)
-            la, ra, lb, rb = (part.column(x).to_pylist() for x in ("la", "ra", "lb", "rb"))
+            la, ra, lb, rb, oa, ob = (part.column(x).to_pylist() for x in ("la", "ra", "lb", "rb", "oa", "ob"))
             u, v, spans = [], [], []
             for i, (x, y) in enumerate(zip(*sides, strict=True)):
-                got = _chains(x[la[i] : ra[i] + 1], y[lb[i] : rb[i] + 1], passage - k + 1, percent)
+                got = _chains(x[la[i] - oa[i] : ra[i] - oa[i] + 1], y[lb[i] - ob[i] : rb[i] - ob[i] + 1], passage - k + 1, percent)
                 if got:
                     u.append(part.column("u")[i])
                     v.append(part.column("v")[i])
@@ -215,8 +234,15 @@ def repeated_passages(docs: DataFrame, text: str = "text", k: int = SHINGLE, pas
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("doc_id is not null")
     windows = cut(map_arrow(source, lambda it: _window_batches(it, k, passage), WINDOWS))
-    shared = windows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").drop("last")
-    members = cut(windows.join(shared, "key"))
+    # a document has a key once, so a key of several rows is shared
+    shared = windows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    ends = {"l": F.shiftright("lr", 32).cast("int"), "r": F.col("lr").bitwiseAND(0xFFFFFFFF).cast("int")}
+    members = cut(windows.join(shared, "key").withColumns(ends).drop("lr"))
+    release(docs.sparkSession, windows)
+    hulls = members.groupBy("doc_id").agg(F.min("l").alias("lo"), F.max("r").alias("hi"))
+    slices = source.join(hulls, "doc_id").dropDuplicates(["doc_id"])
+    slices = cut(map_arrow(slices, lambda it: _slices(it, k), "doc_id long, lo int, text string"))
+    release(docs.sparkSession)
     verified: DataFrame | None = None
     met: DataFrame | None = None
     for turn in range(ROUNDS):
@@ -226,10 +252,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", k: int = SHINGLE, pas
         pairs = cut(pairs.agg(F.min("la").alias("la"), F.max("ra").alias("ra"), F.min("l").alias("lb"), F.max("r").alias("rb")))
         fresh = pairs if met is None else pairs.join(met, ["u", "v"], "left_anti")
         met = pairs.select("u", "v") if met is None else met.unionByName(fresh.select("u", "v"))
-        needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-        texts = cut(source.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-        side = lambda p, t, texts=texts: texts.select(F.col("doc_id").alias(p), F.col("text").alias(t))
-        both = fresh.join(side("u", "ta"), "u").join(side("v", "tb"), "v")
+        side = lambda p, t, o: slices.select(F.col("doc_id").alias(p), F.col("text").alias(t), F.col("lo").alias(o))
+        both = fresh.join(side("u", "ta", "oa"), "u").join(side("v", "tb", "ob"), "v")
         found = cut(map_arrow(both, lambda it: _verified(it, k, passage, percent), SPANS))
         verified = found if verified is None else verified.unionByName(found)
         if turn + 1 == ROUNDS:
