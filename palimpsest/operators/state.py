@@ -22,9 +22,10 @@ def lineage(graph: Graph, points: DataFrame) -> DataFrame:
     every = at
     while True:
         forks = graph.lanes.filter("fork_lane is not null")
-        at = settle(at.join(forks, "lane").select("id", F.col("fork_lane").alias("lane"), F.col("fork_pos").alias("top"), (F.col("level") + 1).alias("level")))
-        if at.isEmpty():
+        below = at.join(forks, "lane").select("id", F.col("fork_lane").alias("lane"), F.col("fork_pos").alias("top"), (F.col("level") + 1).alias("level"))
+        if below.isEmpty():
             return every
+        at = settle(below)
         every = every.unionByName(at)
 
 

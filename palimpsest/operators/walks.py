@@ -67,7 +67,14 @@ def within_depth(graph: Graph, commit_id: int, most: int) -> DataFrame:
 
 
 def history(graph: Graph, commit_id: int, length: int) -> DataFrame:
-    """step (0 is the tip) and commit_id along first parents, at most ``length`` commits."""
+    """step (0 is the tip) and commit_id along first parents, at most ``length`` commits.
+
+    A lane is a line of first parents; only a walk that leaves its lane needs more than a range of it.
+    """
+    at = graph.places([commit_id]).join(graph.lanes, "lane").select("lane", "pos", "fork_pos").first()
+    if at is not None and at["pos"] - length >= (-1 if at["fork_pos"] is None else at["fork_pos"]):
+        own = graph.commits.filter((F.col("lane") == at["lane"]) & F.col("pos").between(at["pos"] - length + 1, at["pos"]))
+        return own.select((F.lit(at["pos"]) - F.col("pos")).alias("step"), "commit_id")
     first = Graph(graph.spark, graph.commits, graph.edges, graph.ops, graph.lanes, graph.cross.filter("ordinal = 0"), graph.refs, graph.head)
     tip = graph.places([commit_id])
     older = walks(first, tip.withColumnRenamed("commit_id", "src"), 1, length - 1, True)
