@@ -235,7 +235,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", k: int = SHINGLE, pas
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("doc_id is not null")
     windows = cut(map_arrow(source, lambda it: _window_batches(it, k, passage), WINDOWS))
     # a document has a key once, so a key of several rows is shared
-    shared = windows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = cut(windows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    release(docs.sparkSession)
     ends = {"l": F.shiftright("lr", 32).cast("int"), "r": F.col("lr").bitwiseAND(0xFFFFFFFF).cast("int")}
     members = cut(windows.join(shared, "key").withColumns(ends).drop("lr"))
     release(docs.sparkSession, windows)
