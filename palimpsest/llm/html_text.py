@@ -36,8 +36,10 @@ OTHER_NAMES = frozenset(
     "respond responses share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets".split()
 )
 
+MAIN_NAMES = frozenset("article article-body articlebody article-content post-content post-body entry-content story-body main-content maincontent".split())
+
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z)))", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I) for name in UNSEEN}
 
@@ -72,6 +74,17 @@ def _speaks_of_other(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _speaks_of_article(tag: str, attributes: str) -> bool:
+    """Whether an element is by its own account the article."""
+    if tag in ("article", "main") or not attributes:
+        return tag in ("article", "main")
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "role" and value == "main" or name == "itemprop" and value == "articlebody" or name in ("class", "id") and not MAIN_NAMES.isdisjoint(value.split()):
+            return True
+    return False
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order; those without a word are left out."""
     out: list[Block] = []
@@ -137,7 +150,7 @@ def blocks_of(page: str) -> list[Block]:
             if new and not other:
                 close()
             stack.append((tag, other, article))
-            other, article = other or new, article or tag in ("article", "main")
+            other, article = other or new, article or _speaks_of_article(tag, m[3])
     close()
     return out
 
@@ -200,6 +213,47 @@ LABELLED = """
 2 100 1 100 2 100 0 0 0 0
 3 67 2 100 10 0 0 0 0 0
 9 0 3 100 55 0 0 0 0 1
+4 0 1 100 60 0 0 0 0 1
+3 0 2 100 25 4 0 0 0 1
+7 0 1 100 90 0 0 0 0 1
+2 0 1 100 14 0 0 0 0 1
+5 0 1 100 2 100 0 0 0 0
+8 0 2 100 0 0 0 0 0 0
+3 0 1 100 1 100 0 0 0 0
+2 0 0 0 1 100 0 0 0 0
+3 0 0 0 2 100 0 0 0 0
+2 0 22 0 4 0 0 0 0 1
+4 0 2 0 2 0 0 0 0 1
+2 0 4 0 22 0 0 0 0 1
+3 0 30 0 0 0 0 0 0 1
+1 0 5 0 1 0 0 0 0 1
+8 0 9 10 8 100 0 0 0 1
+5 0 6 0 3 100 0 0 0 1
+6 0 1 100 15 0 0 0 0 1
+3 0 2 100 40 5 0 0 0 1
+5 0 3 100 22 10 0 0 0 1
+9 0 0 0 30 0 0 0 0 1
+2 0 0 0 25 0 0 0 0 1
+7 10 14 0 5 0 0 0 0 1
+2 0 8 0 5 0 0 0 0 1
+20 0 1 100 1 100 0 0 0 1
+14 0 1 0 3 33 0 0 0 1
+12 0 2 0 4 25 0 0 0 1
+16 0 1 0 3 33 0 0 0 1
+10 0 1 0 2 50 0 0 0 1
+11 0 3 0 0 0 0 0 0 1
+13 0 1 100 2 100 0 0 0 1
+17 5 3 100 4 50 0 0 0 1
+24 0 2 100 3 0 0 0 0 1
+2 0 1 100 1 100 0 0 0 0
+5 0 2 100 3 0 0 0 0 0
+4 0 1 100 5 0 0 0 0 0
+6 0 1 100 0 0 0 0 0 0
+9 0 3 100 5 100 0 0 0 0
+4 20 1 100 6 0 0 0 0 0
+3 0 0 0 1 100 0 0 0 0
+1 0 0 0 2 100 0 0 0 0
+3 0 0 0 1 100 0 0 0 0
 55 0 9 0 40 3 0 0 0 1
 40 3 55 0 6 0 0 0 0 1
 6 0 40 3 70 0 0 0 0 1
@@ -219,6 +273,24 @@ LABELLED = """
 35 0 0 0 0 0 0 0 0 1
 4 0 0 0 0 0 0 0 0 1
 150 1 0 0 0 0 0 0 0 1
+22 0 22 0 2 0 1 0 0 0
+30 0 5 0 0 0 1 0 0 0
+25 0 2 0 3 0 1 0 0 0
+60 0 4 0 12 0 1 0 0 0
+2 0 22 0 4 0 1 0 0 0
+4 0 2 0 2 0 1 0 0 0
+6 0 22 0 9 0 1 0 0 0
+12 0 8 0 15 0 1 0 0 0
+15 5 30 0 25 0 1 0 0 0
+24 0 2 100 3 0 1 0 0 0
+20 0 1 100 1 100 1 0 0 0
+3 0 30 0 0 0 1 0 0 0
+9 0 0 0 30 0 1 0 0 0
+45 0 40 3 6 0 1 0 0 0
+55 0 9 0 40 3 1 0 0 0
+18 0 45 0 25 6 1 0 0 0
+35 0 0 0 0 0 1 0 0 0
+28 0 60 0 50 0 1 0 0 0
 40 0 30 0 30 0 1 0 0 0
 10 0 40 0 12 0 1 0 0 0
 3 100 10 0 5 0 1 0 0 0
@@ -232,7 +304,7 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
     return rows[:, :-1], rows[:, -1].astype(int)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10) -> tuple:
     """Binary decision tree by Gini impurity: (label,) or (feature, threshold, up to it, above it)."""
     share = y.mean() if len(y) else 0.0
     if depth == 0 or share in (0.0, 1.0):

@@ -24,6 +24,7 @@ Two equal passages have equal keys under every function, so they always meet.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,29 +133,51 @@ def _window_batches(batches: Iterator[pa.RecordBatch], k: int, passage: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc_id", "c", "lr"])
 
 
+def _follow(hit: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each hit the occurrence in a, of those in order[lo:hi], that goes on from the hit before.
+
+    Else the nearest to where that would be if within ``GAP``, else the first: a text that repeats
+    itself is walked through once and then from its beginning again.
+    """
+    out, expected, last = [], -1, -1
+    places = order.tolist()
+    for h, x, y in zip(hit.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        at = places[x]
+        if expected >= 0 and y - x > 1:
+            want = expected + h - last
+            k = bisect_left(places, want, x, y)
+            near = [places[q] for q in (k - 1, k) if x <= q < y]
+            best = min(near, key=lambda p, want=want: abs(p - want))
+            at = best if abs(best - want) <= GAP else at
+        out.append(at)
+        expected, last = at, h
+    return np.array(out, np.int64)
+
+
 def _chains(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
     """Verified passages (from, to in a, from, to in b; ends inclusive, in shingles)."""
+    out, repeats = _one_way(a, b, least, percent)
+    if repeats:  # what b walked through once, a may have more than once
+        out += [(p, q, s, e) for s, e, p, q in _one_way(b, a, least, percent)[0]]
+    return out
+
+
+def _one_way(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> tuple[list[tuple[int, int, int, int]], bool]:
+    """``_chains`` along b, and whether shingles of either repeat among the matches."""
     order = np.argsort(a, kind="stable")
     ordered = a[order]
     lo = np.searchsorted(ordered, b, "left")
     hit = np.flatnonzero((lo < len(a)) & (ordered[np.minimum(lo, len(a) - 1)] == b))
     if len(hit) < 2:
-        return []
+        return [], False
+    hi = np.searchsorted(ordered, b[hit], "right")
     at = order[lo[hit]]
-    several = np.searchsorted(ordered, b[hit], "right") - lo[hit] > 1
-    if several.any():
-        # a shingle that a has several times takes the diagonal of a single one beside it, if it can
-        single = np.flatnonzero(~several)
-        many = np.flatnonzero(several)
-        if len(single):
-            near = np.searchsorted(single, many)
-            for beside in (np.minimum(near, len(single) - 1), np.maximum(near - 1, 0)):
-                guess = hit[many] + (at - hit)[single[beside]]
-                fits = (guess >= 0) & (guess < len(a))
-                fits &= a[np.clip(guess, 0, len(a) - 1)] == b[hit[many]]
-                at[many[fits]] = guess[fits]
+    several = bool((hi - lo[hit] > 1).any())
+    if several:
+        at = _follow(hit, order, lo[hit], hi)
+    repeats = several or len(np.unique(b[hit])) < len(hit)
     off = at - hit
-    out = []
+    out: list[tuple[int, int, int, int]] = []
     breaks = np.flatnonzero((np.diff(hit) > GAP) | (np.abs(np.diff(off)) > GAP)) + 1
     todo = [(x[0], x[-1]) for x in np.split(np.arange(len(hit)), breaks) if len(x)]
     while todo:
@@ -171,7 +194,7 @@ def _chains(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tupl
             k = i + 1 + int(jump.argmax())
             if jump.max() > 1:
                 todo += [(i, k - 1), (k, j)]
-    return out
+    return out, repeats
 
 
 _SPAN = pa.list_(pa.struct([("a", pa.int32()), ("a_end", pa.int32()), ("b", pa.int32()), ("b_end", pa.int32())]))

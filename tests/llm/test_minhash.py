@@ -33,7 +33,7 @@ def plain(docs, k, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_crowded_buckets_lose_no_link(spark, monkeypatch, seed):
     monkeypatch.setattr(minhash, "BLOCK", 16)
     r = random.Random(seed)
