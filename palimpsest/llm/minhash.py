@@ -257,11 +257,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, perce
     concerned = members.select("doc_id").distinct()
     sets = cut(map_arrow(_source(docs, text).join(concerned, "doc_id", "left_semi"), lambda it: _set_batches(it, k), "doc_id long, shingles array<long>, folded binary").dropDuplicates(["doc_id"]))
     release(docs.sparkSession)
-    links = _Links(known.dropDuplicates(["doc_id"]).join(concerned, "doc_id", "left_semi").select("doc_id", "n_shingles", "signature", "bands"), sets, percent)
+    marks = known.join(concerned, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "signature", "bands")
+    links = _Links(cut(marks), sets, percent)
     tested = cut(members.filter("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct())
     edges = links.confirmed(links.likely(tested))
     component = connected_components(edges)
     members = members.select("key", "doc_id")
+    release(docs.sparkSession)
 
     placed = _outsiders(members, component)
     if placed.head(1):
@@ -274,6 +276,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, perce
         component = connected_components(edges)
         placed = _outsiders(members, component)
     if placed.head(1):
+        release(docs.sparkSession)
         sized = placed.groupBy("key").agg(F.count_if("outsider").alias("n_out"))
         nu, nv = F.ceil(F.col("n_out") / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
         spread = placed.join(sized, "key").join(links.found, "doc_id").join(sets.select("doc_id", "folded"), "doc_id").withColumns({"nu": nu, "nv": nv})
