@@ -268,16 +268,13 @@ def repeated_passages(docs: DataFrame, text: str = "text", k: int = SHINGLE, pas
     slices = cut(map_arrow(slices, lambda it: _slices(it, k), "doc_id long, lo int, text string"))
     release(docs.sparkSession)
     verified: DataFrame | None = None
-    met: DataFrame | None = None
     for turn in range(ROUNDS):
         heads = members.filter("doc_id = rep").groupBy("key", "rep").agg(F.min("l").alias("la"), F.max("r").alias("ra"))
         others = members.filter("doc_id <> rep")
         pairs = others.join(heads, ["key", "rep"]).groupBy(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
         pairs = cut(pairs.agg(F.min("la").alias("la"), F.max("ra").alias("ra"), F.min("l").alias("lb"), F.max("r").alias("rb")))
-        fresh = pairs if met is None else pairs.join(met, ["u", "v"], "left_anti")
-        met = pairs.select("u", "v") if met is None else met.unionByName(fresh.select("u", "v"))
         side = lambda p, t, o: slices.select(F.col("doc_id").alias(p), F.col("text").alias(t), F.col("lo").alias(o))
-        both = fresh.join(side("u", "ta", "oa"), "u").join(side("v", "tb", "ob"), "v")
+        both = pairs.join(side("u", "ta", "oa"), "u").join(side("v", "tb", "ob"), "v")
         found = cut(map_arrow(both, lambda it: _verified(it, k, passage, percent), SPANS))
         verified = found if verified is None else verified.unionByName(found)
         if turn + 1 == ROUNDS:
@@ -299,11 +296,12 @@ def _runs(verified: DataFrame) -> DataFrame:
     each = verified.select("u", "v", F.explode("spans").alias("s"))
     spans = each.select(F.col("u").alias("doc_id"), F.col("v").alias("other"), F.col("s.a").alias("start"), F.col("s.a_end").alias("end"))
     spans = spans.unionByName(each.select(F.col("v").alias("doc_id"), F.col("u").alias("other"), F.col("s.b").alias("start"), F.col("s.b_end").alias("end")))
-    spans = spans.groupBy("doc_id", "start", "end").agg(F.count("*").alias("links"))
+    spans = spans.distinct()
     by_start = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    runs = spans.withColumn("new", (F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(by_start))
-    runs = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("links").alias("links"))
+    runs = spans.select("doc_id", "start", "end").distinct().withColumn("new", (F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(by_start))
+    # a pair may have met in several rounds, so links counts the other documents and not the meetings
+    runs = spans.join(runs, ["doc_id", "start", "end"]).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("other").alias("links"))
     component = connected_components(verified.select("u", "v")).withColumnRenamed("node", "doc_id")
     joined = runs.join(component, "doc_id")
     return joined.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("end") - F.col("start")).cast("long").alias("n_words"), "links", F.col("component").alias("component_id"))
