@@ -17,7 +17,8 @@ their extents.
 3. Within the hulls common shingles are chained along the diagonal; a chain of the passage length is
    verified by its full shingle sets.
 4. Windows whose centre lies in no verified passage meet again without the document they met before,
-   up to ``ROUNDS`` times.  Links between documents are closed to components.
+   ``ROUNDS`` times in all.  Those still unverified are compared with all other windows of their key,
+   verified or not, in blocks of ``BLOCK`` windows.  Links between documents are closed to components.
 
 Two equal passages have equal keys under every function, so they always meet.
 """
@@ -39,6 +40,8 @@ from palimpsest.llm.textkernel import chunks, mix, shingle_hashes, words_of
 FUNCTIONS, ROUNDS = 4, 2
 #: Words a shingle, least words a passage, similarity in percent.
 SHINGLE, PASSAGE, PERCENT = 5, 50, 80
+#: Windows of a key that are compared at once, and shingles counted at once.
+BLOCK, COLUMNS = 512, 8192
 #: Chained matches may skip so many shingles, and move so far off the diagonal.
 GAP = 12
 
@@ -200,8 +203,8 @@ def _one_way(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> tuple[li
 _SPAN = pa.list_(pa.struct([("a", pa.int32()), ("a_end", pa.int32()), ("b", pa.int32()), ("b_end", pa.int32())]))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Texts from the word lo up to the end of the shingle at hi."""
+def _slices(batches: Iterator[pa.RecordBatch], k: int, keep: tuple[str, ...] = ("doc_id", "lo")) -> Iterator[pa.RecordBatch]:
+    """Texts from the word lo up to the end of the shingle at hi, after the columns in ``keep``."""
     for batch in batches:
         lo, hi = batch.column("lo").to_numpy(), batch.column("hi").to_numpy()
         for c in chunks(batch.column("text")):
@@ -214,7 +217,17 @@ def _slices(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             raw = c.buf.tobytes()
             texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
             part = batch.slice(c.first, c.n)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lo"), pa.array(texts, pa.string())], ["doc_id", "lo", "text"])
+            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(texts, pa.string())], [*keep, "text"])
+
+
+def _shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The shingles of each text."""
+    rows = []
+    for c in chunks(texts):
+        w = words_of(c, fold_case=True)
+        whole = shingle_hashes(w.hashes, k)
+        rows += [whole[s : e - k + 1] for s, e in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)]
+    return rows
 
 
 def _verified(batches: Iterator[pa.RecordBatch], k: int, passage: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -222,14 +235,7 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, passage: int, percent:
     for batch in batches:
         for lo in range(0, batch.num_rows, 200):
             part = batch.slice(lo, 200)
-            sides = []
-            for name in ("ta", "tb"):
-                rows = []
-                for c in chunks(part.column(name)):
-                    w = words_of(c, fold_case=True)
-                    whole = shingle_hashes(w.hashes, k)
-                    rows += [whole[s : e - k + 1] for s, e in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)]
-                sides.append(rows)
+            sides = [_shingles(part.column(name), k) for name in ("ta", "tb")]
             la, ra, lb, rb, oa, ob = (part.column(x).to_pylist() for x in ("la", "ra", "lb", "rb", "oa", "ob"))
             u, v, spans = [], [], []
             for i, (x, y) in enumerate(zip(*sides, strict=True)):
@@ -244,6 +250,83 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, passage: int, percent:
 SPANS = "u long, v long, spans array<struct<a:int,a_end:int,b:int,b_end:int>>"
 
 
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Number of common shingles of each of x with each of y; no shingle occurs twice in one of them."""
+    flat = np.concatenate([*x, *y])
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    _, at, number = np.unique(flat, return_inverse=True, return_counts=True)
+    several = number > 1
+    row, at = row[several[at]], (np.cumsum(several) - 1)[at[several[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    total = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, int(several.sum()), COLUMNS):
+        i, j = np.searchsorted(at, (lo, lo + COLUMNS))
+        marks = np.zeros((len(x) + len(y), COLUMNS), np.float32)
+        marks[row[i:j], at[i:j] - lo] = 1
+        total += marks[: len(x)] @ marks[len(x) :].T
+    return total
+
+
+def _block_pairs(t: pa.Table, k: int, passage: int, percent: int) -> pa.Table:
+    """Verified passages between the unverified windows of one block of a key and all windows of another."""
+    t = t.combine_chunks()
+    least = passage - k + 1
+    doc, l = (t.column(x).to_numpy() for x in ("doc_id", "l"))  # noqa: E741
+    outsider, asks = (t.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("outsider", "asks"))
+    shingles = _shingles(t.column("text").combine_chunks(), k)
+    sets = [np.unique(s) for s in shingles]
+    repeats = np.array([len(a) < len(b) for a, b in zip(sets, shingles, strict=True)])
+    x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    u, v, spans = [], [], []
+    if len(x) and len(y):
+        common = _common([sets[i] for i in x], [sets[i] for i in y])
+        # a verified passage has so many common shingles at least, unless some of its own are equal
+        enough = (100 + percent) * common >= 2 * percent * least
+        enough |= (repeats[x][:, None] | repeats[y][None, :]) & (common > 0)
+        # two unverified windows meet in both orders
+        enough &= np.where(outsider[y][None, :], doc[x][:, None] < doc[y][None, :], doc[x][:, None] != doc[y][None, :])
+        for i, j in np.argwhere(enough).tolist():
+            a, b = sorted((x[i], y[j]), key=lambda r: doc[r])
+            got = _chains(shingles[a], shingles[b], least, percent)
+            if got:
+                u.append(doc[a])
+                v.append(doc[b])
+                spans.append([{"a": l[a] + p, "a_end": l[a] + q + k, "b": l[b] + s, "b_end": l[b] + e + k} for p, q, s, e in got])
+    return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(spans, _SPAN)], names=["u", "v", "spans"])
+
+
+def _unverified(members: DataFrame, verified: DataFrame) -> DataFrame:
+    """The windows whose centre lies in no verified passage, without those of the document all others met."""
+    each = verified.select("u", "v", F.explode("spans").alias("s"))
+    one = each.select(F.col("u").alias("doc_id"), F.col("s.a").alias("from"), F.col("s.a_end").alias("to"))
+    spans = one.union(each.select("v", "s.b", "s.b_end")).distinct()
+    covered = members.select("key", "doc_id", "c").join(spans, "doc_id").filter("c >= from and c < to").select("key", "doc_id").distinct()
+    return members.filter("doc_id <> rep").drop("rep").join(covered, ["key", "doc_id"], "left_anti")
+
+
+def _compared(members: DataFrame, verified: DataFrame, slices: DataFrame, k: int, passage: int, percent: int) -> DataFrame:
+    """Verified passages between the unverified windows and all windows of their keys, dealt in pairs of blocks."""
+    outside = _unverified(members, verified).select("key", "doc_id", F.lit(True).alias("outsider")).distinct()
+    marked = members.filter("doc_id <> rep").select("key", "doc_id", "l", "r").join(outside, ["key", "doc_id"], "left").fillna(False, "outsider")
+    marked = cut(marked)
+    sized = marked.groupBy("key").agg(F.count_if("outsider").alias("n_out"), F.count("*").alias("n")).filter("n_out > 0 and n > 1")
+    nu, nv = F.ceil(F.col("n_out") / BLOCK).cast("int").alias("nu"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nv")
+    placed = marked.join(sized.select("key", nu, nv), "key").join(slices.withColumnRenamed("lo", "o"), "doc_id")
+    keep = ("key", "doc_id", "l", "outsider", "nu", "nv")
+    placed = placed.select(*keep, (F.col("l") - F.col("o")).alias("lo"), (F.col("r") - F.col("o")).alias("hi"), "text")
+    rows = cut(map_arrow(placed, lambda it: _slices(it, k, keep), "key long, doc_id long, l int, outsider boolean, nu int, nv int, text string"))
+    release(members.sparkSession, marked)
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    payload = ["key", "doc_id", "l", "outsider", "text"]
+    dealt = rows.filter("outsider").select(*payload, own("nu").alias("bu"), others("nv").alias("bv"), F.lit(True).alias("asks"))
+    dealt = dealt.unionByName(rows.select(*payload, others("nu").alias("bu"), own("nv").alias("bv"), F.lit(False).alias("asks")))
+    found = cut(dealt.groupBy("key", "bu", "bv").applyInArrow(lambda t: _block_pairs(t, k, passage, percent), SPANS))
+    release(members.sparkSession, rows)
+    return found
+
+
 def repeated_passages(docs: DataFrame, text: str = "text", k: int = SHINGLE, passage: int = PASSAGE, percent: int = PERCENT) -> DataFrame:
     """doc_id, start, end, n_words, links, component_id: the passages that a document shares with another.
 
@@ -268,6 +351,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", k: int = SHINGLE, pas
     slices = cut(map_arrow(slices, lambda it: _slices(it, k), "doc_id long, lo int, text string"))
     release(docs.sparkSession)
     verified: DataFrame | None = None
+    everyone = members
     for turn in range(ROUNDS):
         heads = members.filter("doc_id = rep").groupBy("key", "rep").agg(F.min("l").alias("la"), F.max("r").alias("ra"))
         others = members.filter("doc_id <> rep")
@@ -279,15 +363,13 @@ def repeated_passages(docs: DataFrame, text: str = "text", k: int = SHINGLE, pas
         verified = found if verified is None else verified.unionByName(found)
         if turn + 1 == ROUNDS:
             break
-        each = verified.select("u", "v", F.explode("spans").alias("s"))
-        one = each.select(F.col("u").alias("doc_id"), F.col("s.a").alias("from"), F.col("s.a_end").alias("to"))
-        spans = one.union(each.select("v", "s.b", "s.b_end")).distinct()
-        covered = members.select("key", "doc_id", "c").join(spans, "doc_id").filter("c >= from and c < to").select("key", "doc_id").distinct()
-        left = members.filter("doc_id <> rep").drop("rep").join(covered, ["key", "doc_id"], "left_anti")
+        left = _unverified(members, verified)
         again = left.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").drop("last")
         members = cut(left.join(again, "key"))
         if not members.head(1):
             break
+    release(docs.sparkSession)
+    verified = verified.unionByName(_compared(everyone, verified, slices, k, passage, percent))
     return _runs(verified)
 
 
