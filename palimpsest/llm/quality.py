@@ -27,8 +27,9 @@ MIN_REPEAT = 8
 #: A document with a larger share of its words inside repeats is rejected.
 MAX_COVERED = 0.30
 #: A document of which one repeat is longer, in words, is rejected if it also fills MAX_LONGEST_SHARE of it.
+#: Two copies cover twice that share, so it has to stay well under half of MAX_COVERED to reject anything more.
 MAX_LONGEST = 200
-MAX_LONGEST_SHARE = 0.15
+MAX_LONGEST_SHARE = 0.05
 #: Documents with fewer words are rejected.
 MIN_WORDS = 20
 

@@ -52,3 +52,12 @@ def test_long_repeat_is_rejected(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:900] + passage + words[900:] + passage[:220] + passage[:200])), (3, " ".join(words + words[:100]))], "doc_id long, text string")
     got = {r.doc_id: (r.base_failed, r.kept) for r in quality.verdict(quality.measure(docs), max_longest_share=0.05).collect()}
     assert got == {1: (False, True), 2: (False, False), 3: (False, True)}
+
+
+def test_long_repeat_is_rejected_by_the_limits_of_the_query(spark):
+    words = [f"w{i}" for i in range(12000)]
+    texts = {1: words + words[:2000], 2: words + words[:300], 3: words[:1000] + words[:120], 4: words[:4000] + words[:250]}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.verdict(quality.measure(docs)).collect()}
+    assert got == {1: (False, False), 2: (False, True), 3: (False, True), 4: (False, False)}
+    assert sorted(r.doc_id for r in quality.filter_documents(docs).collect()) == [2, 3]
