@@ -3,7 +3,8 @@
 Rows are dealt to shards of about ``SHARD`` vectors and the queries to blocks of about ``QUERIES``;
 each pair of a shard and a block is one task's group, so memory does not grow with the table.  In a
 shard, vectors get one more component that makes all norms equal; nearest by Euclidean distance is
-then largest by inner product for every query.  The tree splits at the median distance to a vantage
+then largest by inner product for every query.  Leaves are ranked by the inner product itself, distances
+only prune.  The tree splits at the median distance to a vantage
 point.  A query first descends to its own side; the other is skipped if the triangle inequality says
 that its distance there, times ``factor``, exceeds the k-th best so far.  Factor one is exact;
 larger factors skip more.
@@ -55,16 +56,17 @@ def build(points: np.ndarray, rows: np.ndarray | None = None) -> Node:
 
 
 class Search:
-    """Searches one tree for many queries at once; keeps each query's k best (squared distance, row)."""
+    """Searches one tree of points of equal norm for many queries at once; keeps each query's k best (score, row)."""
 
     def __init__(self, points: np.ndarray, names: np.ndarray, queries: np.ndarray, k: int, factor: float):
         self.points, self.names, self.queries, self.factor = points, names, queries, factor
-        self.best = np.full((len(queries), k), np.inf)
+        self.best = np.full((len(queries), k), -np.inf)
         self.rows = np.full((len(queries), k), -1, np.int64)
-        self.norms = (points**2).sum(axis=1)
-        self.query_norms = (queries**2).sum(axis=1)
-        #: Squared distances closer than this count as equal, and the smaller name goes first.
-        self.grain = SLACK * max(1e-300, float(self.norms.max(initial=0) + self.query_norms.max(initial=0)))
+        norms, query_norms = (points**2).sum(axis=1), (queries**2).sum(axis=1)
+        #: Squared distance at score zero, and what rounding may add to it; both only prune.
+        self.far = norms.max(initial=0) + query_norms
+        self.grain = SLACK * self.far
+        self.lengths, self.query_lengths = np.sqrt((points[:, :-1] ** 2).sum(axis=1)), np.sqrt(query_norms)
 
     def visit(self, node: Node, who: np.ndarray) -> None:
         if not len(who):
@@ -76,7 +78,7 @@ class Search:
         near = away < node.radius
         self.visit(node.inside, who[near])  # type: ignore[arg-type]
         self.visit(node.outside, who[~near])  # type: ignore[arg-type]
-        reach = np.sqrt(np.maximum(self.best[who, -1] + self.grain, 0)) * (1 + SLACK)
+        reach = np.sqrt(np.maximum(self.far[who] - 2 * self.best[who, -1] + self.grain[who], 0)) * (1 + SLACK)
         cross = self.factor * np.abs(away - node.radius) <= reach
         self.visit(node.outside, who[near & cross])  # type: ignore[arg-type]
         self.visit(node.inside, who[~near & cross])  # type: ignore[arg-type]
@@ -84,16 +86,18 @@ class Search:
     def _scan(self, rows: np.ndarray, who: np.ndarray) -> None:
         for at in range(0, len(who), 1024):
             part = who[at : at + 1024]
-            square = self.query_norms[part][:, None] + self.norms[rows][None, :] - 2 * self.queries[part] @ self.points[rows].T
-            square = np.round(square / self.grain) * self.grain
-            any_ = (square <= self.best[part, -1:]).any(axis=1)
-            part, square = part[any_], square[any_]
+            # a fast product leaves out queries with nothing better here; the order is that of the exact scores
+            bound = self.queries[part] @ self.points[rows].T + SLACK * self.query_lengths[part][:, None] * self.lengths[rows][None, :]
+            part = part[(bound >= self.best[part, -1:]).any(axis=1)]
             if not len(part):
                 continue
-            both = np.concatenate([self.best[part], square], axis=1)
-            names = np.concatenate([self.rows[part], np.broadcast_to(rows, square.shape)], axis=1)
+            score = np.zeros((len(part), len(rows)))
+            for j in range(self.points.shape[1] - 1):
+                score += self.queries[part, j][:, None] * self.points[rows, j][None, :]
+            both = np.concatenate([self.best[part], score], axis=1)
+            names = np.concatenate([self.rows[part], np.broadcast_to(rows, score.shape)], axis=1)
             k = self.best.shape[1]
-            order = np.lexsort((self.names[names], both), axis=1)[:, :k]
+            order = np.lexsort((self.names[names], -both), axis=1)[:, :k]
             self.best[part], self.rows[part] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
 
 

@@ -49,3 +49,14 @@ def test_odd_vectors(spark):
         by.setdefault(r.query_id, []).append(r.vec_id)
     assert by == {0: [140, *range(1, 20)], 20: [140, *range(19)], 140: list(range(20))}
     assert ann.nearest(df.limit(0), "true").count() == 0
+
+
+@pytest.mark.parametrize("scale", [1e4, 1e6, 1e8])
+def test_one_large_norm_leaves_the_order_of_the_others(scale):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(1500, 16))
+    v /= np.sqrt((v**2).sum(axis=1))[:, None]
+    v[700] *= scale
+    ids, at = r.permutation(1500), np.arange(0, 1500, 50)
+    got = ann.search_shard(ids, v, ids[at], v[at], 20, 1.0)
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == plain(ids, v, at, 20)
