@@ -73,6 +73,18 @@ def _digits(s: str) -> str:
     return "".join(x for x in s if "0" <= x <= "9")
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of IBANs; upper-case words and numbers that follow one are left out until the check digits are right."""
+    m = _IBAN.search(text)
+    while m:
+        ends = [m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")]
+        codes = ((e, text[m.start() : e].replace(" ", "")) for e in ends)
+        end = next((e for e, code in codes if 15 <= len(code) <= 34 and mod97(code)), None)
+        if end:
+            yield m.start(), end
+        m = _IBAN.search(text, end or m.start() + 4)
+
+
 def _proposed(text: str) -> Iterator[tuple[str, int, int, str]]:
     """Validated spans with the name of their prior."""
     if "@" in text:
@@ -89,9 +101,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, str]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end(), "phone"
-    for m in _IBAN.finditer(text):
-        if 15 <= len(code := m[0].replace(" ", "")) <= 34 and mod97(code):
-            yield "iban", m.start(), m.end(), "iban"
+    for start, end in _ibans(text):
+        yield "iban", start, end, "iban"
     for m in _SSN.finditer(text):
         yield "ssn", m.start(), m.end(), "ssn"
     for m in _LOCAL.finditer(text):

@@ -53,3 +53,12 @@ def test_digest_and_redaction(spark, odd_docs):
     assert row.text == "mail <EMAIL>, call <PHONE>" and row.n_chars == len(row.text)
     assert clean.filter("doc_id = 6").first() == odd_docs.filter("doc_id = 6").first()
     assert pii.redact_text("abcdef", [("x", 1, 4, 0, True), ("y", 3, 5, 0, True)]) == "a<X>f"
+
+
+def test_ibans_before_upper_case_words():
+    spans = lambda t: [t[s:e] for kind, s, e, *_ in pii.find_spans(t) if kind == "iban"]
+    for code in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"):
+        for after in ("", " BIC COBADEFF", " EUR 500", " I am", " GB82 WEST 1234 5698 7654 32"):
+            assert spans(f"pay {code}{after}")[0] == code
+    assert spans("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32") == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    assert spans("DE89370400440532013001 EUR 500") == []
