@@ -23,13 +23,13 @@ def _stars(edges: DataFrame) -> bool:
 def large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _oriented(moved.unionByName(least.select("u", F.col("m").alias("v"))))
 
@@ -38,8 +38,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on an edge (u, v); the component is its smallest node.
 
     Both columns are longs.  Loops, repeated edges and edges with a null end are ignored; an empty
-    table gives an empty result.  The per-node minimum is combined before each shuffle and the join
-    back has one row per node on its right side, so a hub's edges can be split over tasks.
+    table gives an empty result.  The per-node minimum is combined before each shuffle and written, so the
+    join back is one of two plain shuffles with one row per node on its right side: adaptive execution
+    can split a hub's edges over tasks.
     """
     now = cut(_oriented(edges.select("u", "v").dropna()))
     while not _stars(now):

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import os
 import tempfile
 import uuid
@@ -25,6 +24,7 @@ _shipped: set[str] = set()
 #: Rows that go to a Python worker at once, where the session leaves Spark's default: whole texts are long.
 ROWS_AT_ONCE, SPARK_DEFAULT = "1000", "10000"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,26 +60,32 @@ def folder(spark: SparkSession) -> str:
     return str(spark.sparkContext.getCheckpointDir())
 
 
+@contextlib.contextmanager
+def _files_of_one_write(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go when each ends: nothing reads their plans again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once and read back."""
+    """The same rows, written once and read back; disk holds one step's shuffle files and not those of all."""
     spark = df.sparkSession
     path = f"{folder(spark)}/palimpsest/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _files_of_one_write(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes intermediate tables that nothing reads any more, and shuffle files of finished steps.
-
-    Spark removes shuffle files once the driver has collected the plans that wrote them; steps that
-    move much data ask for that, so that disk holds one step's files and not those of all.
-    """
+    """Deletes intermediate tables that nothing reads any more."""
     names = {x.split("/")[-2] for table in tables for x in table.inputFiles()}
     for path in [x for x in _written if x.split("/")[-1] in names]:
         _delete(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
 
 def _delete(path: str) -> None:

@@ -7,37 +7,48 @@ passage length are kept.  They are the top of the tree, hence found without buil
 centres are the minima of sliding intervals of that length, and the tree of the centres alone gives
 their extents.
 
-1. ``FUNCTIONS`` hash functions give windows; a passage inside one also holds all of the half interval
-   to the left or right of its centre, whose minimum under a further function joins the centre's
-   shingle in the window's key.  So two windows meet if two minima agree.
-2. Windows of the same key are joined with those of the smallest document that has the key (a
-   minimum combined before the shuffle), never pairwise.  The intervals of a pair of documents are
-   merged into a hull on either side.
-   Texts are fetched once, cut to the words that any such window of theirs spans.
-3. Within the hulls common shingles are chained along the diagonal; a chain of the passage length is
+1. ``FUNCTIONS`` hash functions give windows.  Within a document the windows of every ``ENOUGH`` of
+   them are joined by their intervals: where they overlap, all passages that contain their centres
+   share that many minima.  These minima are the joint window's key, so two documents meet if ``ENOUGH``
+   of the functions agree on some passage of each.
+2. Windows of a key are joined with its pivot, the window of the smallest document (a minimum combined
+   before the shuffle), never pairwise.  Of a pair of documents the intervals that overlap on both
+   sides are merged; each such region is verified by itself.  Texts are fetched once, cut to the words
+   that any shared window of theirs spans.
+3. Within a region common shingles are chained along the diagonal; a chain of the passage length is
    verified by its full shingle sets.
-4. Windows whose centre lies in no verified passage meet again without the document they met before,
-   ``ROUNDS`` times in all.  Those still unverified are compared with all other windows of their key,
-   verified or not, in blocks of ``BLOCK`` windows.  Links between documents are closed to components.
-
-Two equal passages have equal keys under every function, so they always meet.
+4. Windows whose centres lie in no passage verified with their key's pivot choose another pivot among
+   themselves, ``ROUNDS`` times in all.  This only makes the next step smaller.
+5. Links between documents are closed to components.  Windows that are still unverified, or that lie in
+   another component than their key's first pivot, are compared with all windows of their key in blocks
+   of ``BLOCK``; only two verified windows of one component need not meet.  So no two windows of a key that
+   hold a common passage stay unconnected, and no window that has a partner stays unfound.
+6. Passages of several documents that end at the same place of a third, and go on with the same shingle
+   there, meet again in the same way: the smallest document with the others, until none go on.
+
+Two equal passages have equal keys under all functions, so they always meet.  A passage of similarity 0.8
+agrees in at least two of four functions with probability 0.97, a longer one at several places.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.scratch import cut, map_arrow, release
 from palimpsest.llm.textkernel import chunks, mix, shingle_hashes, words_of
 
-FUNCTIONS, ROUNDS = 4, 2
+#: Hash functions, how many of them have to agree, and rounds of pivots before blocks are compared.
+FUNCTIONS, ENOUGH, ROUNDS = 4, 2, 2
 #: Words a shingle, least words a passage, similarity in percent.
 SHINGLE, PASSAGE, PERCENT = 5, 50, 80
 #: Windows of a key that are compared at once, and shingles counted at once.
@@ -45,9 +56,9 @@ BLOCK, COLUMNS = 512, 8192
 #: Chained matches may skip so many shingles, and move so far off the diagonal.
 GAP = 12
 
-_SEEDS = mix(np.arange(101, 101 + 2 * FUNCTIONS + 2, dtype=np.uint64))
-#: lr holds both ends of a window, l in the upper half: these rows are by far the most.
-WINDOWS = "key long, doc_id long, c int, lr long"
+_SEEDS = mix(np.arange(101, 101 + 2 * FUNCTIONS, dtype=np.uint64))
+#: cc holds the first and the last centre, lr both ends; the first of two lies in the upper half.
+WINDOWS = "key long, doc_id long, cc long, lr long"
 
 
 def _sliding_min(values: np.ndarray, length: int) -> np.ndarray:
@@ -72,30 +83,77 @@ def _tree(values: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def compact_windows(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(c, l, r) of the compact windows of at least ``length``; a hash of 0 parts documents.
-
-    Of equal hashes the leftmost counts as the smallest.
-    """
+def _windows(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The centre of the passage of ``length`` from each place on, and (c, l, r) as ``compact_windows``."""
     n = len(hashes)
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, none
     bits = np.uint64(max(1, n.bit_length()))
     places = np.arange(n, dtype=np.uint64)
     packed = (hashes >> bits << bits) | places
-    centres = np.unique(_sliding_min(packed, length) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    centres = np.union1d(centres, np.flatnonzero(hashes == 0))
+    at = (_sliding_min(packed, length) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    centres = np.union1d(at, np.flatnonzero(hashes == 0))
     left, right = _tree(packed[centres].tolist())
     l = np.where(left >= 0, centres[left] + 1, 0)  # noqa: E741
     r = np.where(right < len(centres), centres[np.minimum(right, len(centres) - 1)] - 1, n - 1)
     keep = (hashes[centres] != 0) & (r - l + 1 >= length)
-    return centres[keep], l[keep], r[keep]
+    return at, centres[keep], l[keep], r[keep]
+
+
+def compact_windows(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(c, l, r) of the compact windows of at least ``length``; a hash of 0 parts documents.
+
+    Of equal hashes the leftmost counts as the smallest.
+    """
+    return _windows(hashes, length)[1:]
+
+
+def joint_windows(shingle: np.ndarray, parts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first centre, last centre, l, r) of where the windows of ``ENOUGH`` functions overlap.
+
+    Every passage of ``length`` has one key for each choice of functions: their minima in it.  ``parts``
+    marks the places between documents.
+    """
+    found = []
+    for f in range(FUNCTIONS):
+        value = mix(shingle * (_SEEDS[2 * f] | np.uint64(1)) + _SEEDS[2 * f + 1]) | np.uint64(1 << 63)
+        value[parts] = 0
+        found.append(_windows(value, length))
+    out = [[np.zeros(0, np.int64)] * 5]
+    for number, chosen in enumerate(combinations(range(FUNCTIONS), ENOUGH)):
+        at = np.stack([found[f][0] for f in chosen])
+        fresh = ~parts[at[0]]  # a passage over a parting has that as its minimum
+        fresh[1:] &= (at[:, 1:] != at[:, :-1]).any(axis=0)
+        centres = at[:, fresh]
+        key = np.full(centres.shape[1], number + 1, np.uint64)
+        l, r = np.zeros(centres.shape[1], np.int64), np.full(centres.shape[1], len(shingle), np.int64)  # noqa: E741
+        for f, c in zip(chosen, centres, strict=True):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ shingle[c])
+            own = np.searchsorted(found[f][1], c)
+            l, r = np.maximum(l, found[f][2][own]), np.minimum(r, found[f][3][own])  # noqa: E741
+        out.append([key.view(np.int64), centres.min(axis=0), centres.max(axis=0), l, r])
+    key, first, last, l, r = (np.concatenate(x) for x in zip(*out, strict=True))  # noqa: E741
+    return key, first, last, l, r
+
+
+def _occurrences(doc: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray, l: np.ndarray, r: np.ndarray) -> list[np.ndarray]:  # noqa: E741
+    """The windows with those of one document and key merged that overlap."""
+    order = np.lexsort((l, key, doc))
+    doc, key, first, last, l, r = (x[order] for x in (doc, key, first, last, l, r))  # noqa: E741
+    other = np.ones(len(key), bool)
+    other[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    group = np.cumsum(other) * (int(r.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(r + group) - group
+    other[1:] |= l[1:] > reach[:-1]
+    heads = np.flatnonzero(other)
+    if not len(heads):
+        return [doc, key, first, last, l, r]
+    return [doc[heads], key[heads], np.minimum.reduceat(first, heads), np.maximum.reduceat(last, heads), l[heads], np.maximum.reduceat(r, heads)]
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch], k: int, passage: int) -> Iterator[pa.RecordBatch]:
     length = passage - k + 1
-    half = length // 2
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for c in chunks(batch.column(1)):
@@ -113,27 +171,11 @@ def _window_batches(batches: Iterator[pa.RecordBatch], k: int, passage: int) ->
             parts = np.zeros(total, bool)
             parts[heads + size - 1] = True
             shingle = whole[np.minimum(w.bounds[rows][row] + place, len(whole) - 1)]
-            near = mix(shingle * (_SEEDS[0] | np.uint64(1)) + _SEEDS[1])
-            near[parts] = 0
-            halves = _sliding_min(near, half)
-            found = []
-            for f in range(FUNCTIONS):
-                value = mix(shingle * (_SEEDS[2 + 2 * f] | np.uint64(1)) + _SEEDS[3 + 2 * f]) | np.uint64(1 << 63)
-                value[parts] = 0
-                at, l, r = compact_windows(value, length)  # noqa: E741
-                base = mix(shingle[at] + np.uint64(f + 1))
-                for side, fits, begin in ((1, r - at >= half - 1, at), (2, at - l >= half - 1, at - half + 1)):
-                    key = mix(base[fits] ^ mix(halves[begin[fits]] + np.uint64(side)))
-                    found.append(np.stack([key.view(np.int64), row[at[fits]], place[at[fits]], place[l[fits]], place[r[fits]]]))
-            key, doc, at, l, r = np.concatenate(found, axis=1)  # noqa: E741
-            order = np.lexsort((at, key, doc))
-            key, doc, at, l, r = (x[order] for x in (key, doc, at, l, r))  # noqa: E741
-            heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, np.int64)
-            if not len(heads):
-                continue
-            own = ids[c.first + rows[doc[heads]]]
-            columns = [key[heads], own, at[heads].astype(np.int32), (np.minimum.reduceat(l, heads) << 32) | np.maximum.reduceat(r, heads)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc_id", "c", "lr"])
+            key, first, last, l, r = joint_windows(shingle, parts, length)  # noqa: E741
+            doc = row[first]
+            doc, key, first, last, l, r = _occurrences(doc, key, *(place[x] for x in (first, last, l, r)))  # noqa: E741
+            columns = [key, ids[c.first + rows[doc]], (first << 32) | last, (l << 32) | r]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "doc_id", "cc", "lr"])
 
 
 def _follow(hit: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -200,7 +242,8 @@ def _one_way(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> tuple[li
     return out, repeats
 
 
-_SPAN = pa.list_(pa.struct([("a", pa.int32()), ("a_end", pa.int32()), ("b", pa.int32()), ("b_end", pa.int32())]))
+_FIELDS = ("a", "a_end", "b", "b_end", "before", "after")
+_SPAN = pa.list_(pa.struct([(f, pa.int32()) for f in _FIELDS[:4]] + [(f, pa.int64()) for f in _FIELDS[4:]]))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], k: int, keep: tuple[str, ...] = ("doc_id", "lo")) -> Iterator[pa.RecordBatch]:
@@ -230,24 +273,53 @@ def _shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
     return rows
 
 
+def _regions(la: np.ndarray, ra: np.ndarray, lb: np.ndarray, rb: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Hulls of the interval pairs that overlap on both sides."""
+    todo, out = [(np.arange(len(la)), 0, 0)], []
+    while todo:
+        rows, side, kept = todo.pop()
+        lo, hi = ((la, ra), (lb, rb))[side]
+        rows = rows[np.argsort(lo[rows], kind="stable")]
+        gaps = np.flatnonzero(lo[rows][1:] > np.maximum.accumulate(hi[rows])[:-1]) + 1
+        if not len(gaps) and kept:  # one run on either side
+            out.append((int(la[rows].min()), int(ra[rows].max()), int(lb[rows].min()), int(rb[rows].max())))
+            continue
+        todo += [(x, 1 - side, 1 if not len(gaps) else 0) for x in np.split(rows, gaps)]
+    return out
+
+
+def _beside(shingles: np.ndarray, first: int, last: int) -> tuple[int, int]:
+    """The shingles before and after a span, 0 where there is none."""
+    signed = shingles.view(np.int64)
+    return int(signed[first - 1]) if first else 0, int(signed[last + 1]) if last + 1 < len(signed) else 0
+
+
 def _verified(batches: Iterator[pa.RecordBatch], k: int, passage: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v) with verified passages, as word spans with exclusive ends."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 200):
             part = batch.slice(lo, 200)
             sides = [_shingles(part.column(name), k) for name in ("ta", "tb")]
-            la, ra, lb, rb, oa, ob = (part.column(x).to_pylist() for x in ("la", "ra", "lb", "rb", "oa", "ob"))
+            oa, ob = (part.column(x).to_pylist() for x in ("oa", "ob"))
+            met = part.column("met")
+            flat, heads = met.flatten(), np.append(0, np.cumsum(pc.list_value_length(met).to_numpy()))
+            ends = [flat.field(x).to_numpy() for x in ("lra", "lrb")]
             u, v, spans = [], [], []
             for i, (x, y) in enumerate(zip(*sides, strict=True)):
-                got = _chains(x[la[i] - oa[i] : ra[i] - oa[i] + 1], y[lb[i] - ob[i] : rb[i] - ob[i] + 1], passage - k + 1, percent)
+                a, b = (e[heads[i] : heads[i + 1]] for e in ends)
+                got = set()
+                for la, ra, lb, rb in _regions(a >> 32, a & 0xFFFFFFFF, b >> 32, b & 0xFFFFFFFF):
+                    la, lb = max(la, oa[i]), max(lb, ob[i])
+                    chains = _chains(x[la - oa[i] : ra - oa[i] + 1], y[lb - ob[i] : rb - ob[i] + 1], passage - k + 1, percent)
+                    got |= {(la + p, la + q + k, lb + s, lb + e + k, *_beside(y, lb - ob[i] + s, lb - ob[i] + e)) for p, q, s, e in chains}
                 if got:
                     u.append(part.column("u")[i])
                     v.append(part.column("v")[i])
-                    spans.append([{"a": la[i] + p, "a_end": la[i] + q + k, "b": lb[i] + s, "b_end": lb[i] + e + k} for p, q, s, e in got])
+                    spans.append([dict(zip(_FIELDS, s, strict=True)) for s in sorted(got)])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(spans, _SPAN)], ["u", "v", "spans"])
 
 
-SPANS = "u long, v long, spans array<struct<a:int,a_end:int,b:int,b_end:int>>"
+SPANS = "u long, v long, spans array<struct<a:int,a_end:int,b:int,b_end:int,before:bigint,after:bigint>>"
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -269,11 +341,11 @@ def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_pairs(t: pa.Table, k: int, passage: int, percent: int) -> pa.Table:
-    """Verified passages between the unverified windows of one block of a key and all windows of another."""
+    """Verified passages between the outsiders of one block of a key and all windows of another."""
     t = t.combine_chunks()
     least = passage - k + 1
-    doc, l = (t.column(x).to_numpy() for x in ("doc_id", "l"))  # noqa: E741
-    outsider, asks = (t.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("outsider", "asks"))
+    doc, l, component = (t.column(x).to_numpy() for x in ("doc_id", "l", "component"))  # noqa: E741
+    outsider, asks, settled = (t.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("outsider", "asks", "settled"))
     shingles = _shingles(t.column("text").combine_chunks(), k)
     sets = [np.unique(s) for s in shingles]
     repeats = np.array([len(a) < len(b) for a, b in zip(sets, shingles, strict=True)])
@@ -284,47 +356,96 @@ def _block_pairs(t: pa.Table, k: int, passage: int, percent: int) -> pa.Table:
         # a verified passage has so many common shingles at least, unless some of its own are equal
         enough = (100 + percent) * common >= 2 * percent * least
         enough |= (repeats[x][:, None] | repeats[y][None, :]) & (common > 0)
-        # two unverified windows meet in both orders
+        # two outsiders meet in both orders
         enough &= np.where(outsider[y][None, :], doc[x][:, None] < doc[y][None, :], doc[x][:, None] != doc[y][None, :])
+        enough &= ~(settled[x][:, None] & settled[y][None, :] & (component[x][:, None] == component[y][None, :]))
         for i, j in np.argwhere(enough).tolist():
             a, b = sorted((x[i], y[j]), key=lambda r: doc[r])
             got = _chains(shingles[a], shingles[b], least, percent)
             if got:
                 u.append(doc[a])
                 v.append(doc[b])
-                spans.append([{"a": l[a] + p, "a_end": l[a] + q + k, "b": l[b] + s, "b_end": l[b] + e + k} for p, q, s, e in got])
+                spans.append([dict(zip(_FIELDS, (l[a] + p, l[a] + q + k, l[b] + s, l[b] + e + k, *_beside(shingles[b], s, e)), strict=True)) for p, q, s, e in got])
     return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(spans, _SPAN)], names=["u", "v", "spans"])
 
 
-def _unverified(members: DataFrame, verified: DataFrame) -> DataFrame:
-    """The windows whose centre lies in no verified passage, without those of the document all others met."""
-    each = verified.select("u", "v", F.explode("spans").alias("s"))
-    one = each.select(F.col("u").alias("doc_id"), F.col("s.a").alias("from"), F.col("s.a_end").alias("to"))
-    spans = one.union(each.select("v", "s.b", "s.b_end")).distinct()
-    covered = members.select("key", "doc_id", "c").join(spans, "doc_id").filter("c >= from and c < to").select("key", "doc_id").distinct()
-    return members.filter("doc_id <> rep").drop("rep").join(covered, ["key", "doc_id"], "left_anti")
-
-
-def _compared(members: DataFrame, verified: DataFrame, slices: DataFrame, k: int, passage: int, percent: int) -> DataFrame:
-    """Verified passages between the unverified windows and all windows of their keys, dealt in pairs of blocks."""
-    outside = _unverified(members, verified).select("key", "doc_id", F.lit(True).alias("outsider")).distinct()
-    marked = members.filter("doc_id <> rep").select("key", "doc_id", "l", "r").join(outside, ["key", "doc_id"], "left").fillna(False, "outsider")
-    marked = cut(marked)
-    sized = marked.groupBy("key").agg(F.count_if("outsider").alias("n_out"), F.count("*").alias("n")).filter("n_out > 0 and n > 1")
+def _high(c: str) -> Column:
+    return F.shiftright(c, 32).cast("int")
+
+
+def _low(c: str) -> Column:
+    return F.col(c).bitwiseAND(0xFFFFFFFF).cast("int")
+
+
+def _pivoted(windows: DataFrame) -> DataFrame:
+    """The windows of keys that several documents have, with the key's pivot: its smallest document's first window."""
+    pivot = windows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").alias("rep"), F.col("cc").alias("rep_cc"), F.col("lr").alias("rep_lr"))).alias("p"), F.max("doc_id").alias("last"))
+    return windows.join(cut(pivot.filter("p.rep < last").select("key", "p.*")), "key")
+
+
+def _left(members: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The windows but the pivots whose centres lie in no passage verified with the pivot's document."""
+    met = found.select(F.col("u").alias("rep"), F.col("v").alias("doc_id"), "spans")
+    rest = members.filter("doc_id <> rep or cc <> rep_cc").withColumns({"first": _high("cc"), "last": _low("cc")}).join(met, ["rep", "doc_id"], "left")
+    inside = F.exists("spans", lambda s: (s["b"] <= F.col("first")) & (F.col("last") + k <= s["b_end"]))
+    return rest.filter(~F.coalesce(inside, F.lit(False))).select("key", "doc_id", "cc", "lr")
+
+
+def _compared(members: DataFrame, loose: DataFrame, component: DataFrame, slices: DataFrame, k: int, passage: int, percent: int) -> DataFrame:
+    """Verified passages between each key's outsiders and all its windows, dealt in pairs of blocks.
+
+    Outsiders are the windows in ``loose`` and those of another component than the key's first pivot.
+    """
+    spark = members.sparkSession
+    home = component.withColumnRenamed("node", "doc_id")
+    flagged = members.join(loose.select("key", "doc_id", "cc", F.lit(False).alias("settled")), ["key", "doc_id", "cc"], "left").fillna(True, "settled")
+    placed = cut(flagged.join(home, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    pivot = F.col("doc_id") == F.col("rep")
+    pivot &= F.col("cc") == F.col("rep_cc")
+    keys = placed.groupBy("key").agg(F.max(F.when(pivot, F.col("component"))).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("settled").alias("done"))
+    keys = keys.filter("not done or low < high").select("key", "main")
+    marked = placed.filter(~pivot).join(keys, "key").withColumn("outsider", ~F.col("settled") | (F.col("component") != F.col("main")))
+    marked = marked.select("key", "doc_id", _high("lr").alias("l"), _low("lr").alias("r"), "component", "settled", "outsider").join(slices.withColumnRenamed("lo", "o"), "doc_id")
+    keep = ("key", "doc_id", "l", "component", "settled", "outsider")
+    marked = marked.select(*keep, (F.col("l") - F.col("o")).alias("lo"), (F.col("r") - F.col("o")).alias("hi"), "text")
+    rows = cut(map_arrow(marked, lambda it: _slices(it, k, keep), "key long, doc_id long, l int, component long, settled boolean, outsider boolean, text string"))
+    release(spark, placed)
+    # equal texts of one component are found already: one of them stands for all
+    open_rows = rows.filter("not settled")
+    alike = rows.filter("settled").groupBy("key", "component", "outsider", "text").agg(F.min(F.struct("doc_id", "l")).alias("m"))
+    rows = open_rows.unionByName(alike.select("key", "m.doc_id", "m.l", "component", F.lit(True).alias("settled"), "outsider", "text"))
+    rows = cut(rows)
+    sized = rows.groupBy("key").agg(F.count_if("outsider").alias("n_out"), F.count("*").alias("n")).filter("n_out > 0 and n > 1")
     nu, nv = F.ceil(F.col("n_out") / BLOCK).cast("int").alias("nu"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nv")
-    placed = marked.join(sized.select("key", nu, nv), "key").join(slices.withColumnRenamed("lo", "o"), "doc_id")
-    keep = ("key", "doc_id", "l", "outsider", "nu", "nv")
-    placed = placed.select(*keep, (F.col("l") - F.col("o")).alias("lo"), (F.col("r") - F.col("o")).alias("hi"), "text")
-    rows = cut(map_arrow(placed, lambda it: _slices(it, k, keep), "key long, doc_id long, l int, outsider boolean, nu int, nv int, text string"))
-    release(members.sparkSession, marked)
+    rows = rows.join(sized.select("key", nu, nv), "key")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    payload = ["key", "doc_id", "l", "outsider", "text"]
+    payload = [*keep, "text"]
     dealt = rows.filter("outsider").select(*payload, own("nu").alias("bu"), others("nv").alias("bv"), F.lit(True).alias("asks"))
     dealt = dealt.unionByName(rows.select(*payload, others("nu").alias("bu"), own("nv").alias("bv"), F.lit(False).alias("asks")))
-    found = cut(dealt.groupBy("key", "bu", "bv").applyInArrow(lambda t: _block_pairs(t, k, passage, percent), SPANS))
-    release(members.sparkSession, rows)
-    return found
+    return cut(dealt.groupBy("key", "bu", "bv").applyInArrow(lambda t: _block_pairs(t, k, passage, percent), SPANS))
+
+
+def _meetings(pairs: DataFrame, slices: DataFrame, k: int, passage: int, percent: int) -> DataFrame:
+    """Verified passages of document pairs (u, v), each with the interval pairs ``met``."""
+    side = lambda p, t, o: slices.select(F.col("doc_id").alias(p), F.col("text").alias(t), F.col("lo").alias(o))
+    both = cut(pairs).join(side("u", "ta", "oa"), "u").join(side("v", "tb", "ob"), "v")
+    return cut(map_arrow(both, lambda it: _verified(it, k, passage, percent), SPANS))
+
+
+def _going_on(found: DataFrame) -> DataFrame:
+    """Document pairs whose passages end at the same place of a third document and go on alike beyond it.
+
+    Of those that go on with the same shingle the smallest document meets the others.
+    """
+    each = found.select("u", "v", F.explode("spans").alias("s"))
+    end = lambda side, at, mark, lo, hi: each.select("u", "v", F.lit(side).alias("side"), F.col(at).alias("at"), F.col(mark).alias("mark"), ((F.shiftleft(lo.cast("long"), 32)) + hi).alias("lr"))
+    far = F.lit((1 << 31) - 1)
+    ends = end(0, "s.a_end", "s.after", F.col("s.b"), far).unionByName(end(1, "s.a", "s.before", F.lit(0), F.col("s.b_end"))).filter("mark <> 0")
+    by = ["u", "side", "at", "mark"]
+    least = ends.groupBy(*by).agg(F.min(F.struct(F.col("v").alias("first"), F.col("lr").alias("lra"))).alias("m"), F.max("v").alias("last"))
+    pairs = ends.join(cut(least.filter("m.first < last").select(*by, "m.*")), by).filter("v <> first")
+    return pairs.groupBy(F.col("first").alias("u"), "v").agg(F.collect_set(F.struct("lra", F.col("lr").alias("lrb"))).alias("met"))
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", k: int = SHINGLE, passage: int = PASSAGE, percent: int = PERCENT) -> DataFrame:
@@ -332,58 +453,55 @@ def repeated_passages(docs: DataFrame, text: str = "text", k: int = SHINGLE, pas
 
     One row per maximal run of words of a document (start inclusive, end exclusive, counted in words)
     that lies in passages of at least ``passage`` words found, at ``percent`` similarity of k-word
-    shingles, in another document; A-Z count as a-z.  links is the number of pairs of documents by
-    which the run was found, component_id the smallest doc_id reached over such pairs.  Repeats
-    inside one document alone don't count.  Documents that share nothing have no row: so have null,
-    empty and short texts, and rows without doc_id.  Rows of one doc_id are one document.  Columns
-    other than doc_id and the text take no part; an empty table gives an empty result.
+    shingles, in another document; a passage begins and ends with a common shingle; A-Z count as a-z.
+    links is the number of documents by which the run was found, component_id the smallest doc_id
+    reached over such pairs.  Repeats inside one document alone don't count.  Documents that share
+    nothing have no row: so have null, empty and short texts, and rows without doc_id.  Rows of one
+    doc_id are one document.  Columns other than doc_id and the text take no part; an empty table
+    gives an empty result.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("doc_id is not null")
     windows = cut(map_arrow(source, lambda it: _window_batches(it, k, passage), WINDOWS))
-    # a document has a key once, so a key of several rows is shared
-    shared = cut(windows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    release(docs.sparkSession)
-    ends = {"l": F.shiftright("lr", 32).cast("int"), "r": F.col("lr").bitwiseAND(0xFFFFFFFF).cast("int")}
-    members = cut(windows.join(shared, "key").withColumns(ends).drop("lr"))
+    members = cut(_pivoted(windows))
     release(docs.sparkSession, windows)
-    hulls = members.groupBy("doc_id").agg(F.min("l").alias("lo"), F.max("r").alias("hi"))
+    hulls = members.groupBy("doc_id").agg(F.min(_high("lr")).alias("lo"), F.max(_low("lr")).alias("hi"))
     slices = source.join(hulls, "doc_id").dropDuplicates(["doc_id"])
     slices = cut(map_arrow(slices, lambda it: _slices(it, k), "doc_id long, lo int, text string"))
-    release(docs.sparkSession)
-    verified: DataFrame | None = None
-    everyone = members
-    for turn in range(ROUNDS):
-        heads = members.filter("doc_id = rep").groupBy("key", "rep").agg(F.min("l").alias("la"), F.max("r").alias("ra"))
-        others = members.filter("doc_id <> rep")
-        pairs = others.join(heads, ["key", "rep"]).groupBy(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-        pairs = cut(pairs.agg(F.min("la").alias("la"), F.max("ra").alias("ra"), F.min("l").alias("lb"), F.max("r").alias("rb")))
-        side = lambda p, t, o: slices.select(F.col("doc_id").alias(p), F.col("text").alias(t), F.col("lo").alias(o))
-        both = pairs.join(side("u", "ta", "oa"), "u").join(side("v", "tb", "ob"), "v")
-        found = cut(map_arrow(both, lambda it: _verified(it, k, passage, percent), SPANS))
-        verified = found if verified is None else verified.unionByName(found)
-        if turn + 1 == ROUNDS:
-            break
-        left = _unverified(members, verified)
-        again = left.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").drop("last")
-        members = cut(left.join(again, "key"))
-        if not members.head(1):
-            break
-    release(docs.sparkSession)
-    verified = verified.unionByName(_compared(everyone, verified, slices, k, passage, percent))
-    return _runs(verified)
-
-
-def _runs(verified: DataFrame) -> DataFrame:
+    turn, verified, loose = members, [], []
+    for i in range(ROUNDS):
+        met = F.collect_list(F.struct(F.col("rep_lr").alias("lra"), F.col("lr").alias("lrb"))).alias("met")
+        found = _meetings(turn.filter("doc_id <> rep").groupBy(F.col("rep").alias("u"), F.col("doc_id").alias("v")).agg(met), slices, k, passage, percent)
+        verified.append(found)
+        left = cut(_left(turn, found, k))
+        if i:  # later pivots have not met the windows of earlier ones
+            loose.append(turn.filter("doc_id = rep and cc = rep_cc").select("key", "doc_id", "cc"))
+        if i + 1 < ROUNDS:
+            turn = cut(_pivoted(left))
+            if turn.isEmpty():
+                break
+    loose.append(left.select("key", "doc_id", "cc"))
+    every = reduce(DataFrame.unionByName, verified)
+    component = cut(connected_components(every.select("u", "v")))
+    more = _compared(members, reduce(DataFrame.unionByName, loose), component, slices, k, passage, percent)
+    if not more.isEmpty():
+        component = connected_components(component.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select("u", "v")))
+    every = fresh = every.unionByName(more)
+    while not (pairs := cut(_going_on(fresh))).isEmpty():
+        fresh = _meetings(pairs, slices, k, passage, percent)
+        every = every.unionByName(fresh)
+    return _runs(every, component)
+
+
+def _runs(verified: DataFrame, component: DataFrame) -> DataFrame:
     """The union of each document's passages, with links and component."""
     each = verified.select("u", "v", F.explode("spans").alias("s"))
     spans = each.select(F.col("u").alias("doc_id"), F.col("v").alias("other"), F.col("s.a").alias("start"), F.col("s.a_end").alias("end"))
     spans = spans.unionByName(each.select(F.col("v").alias("doc_id"), F.col("u").alias("other"), F.col("s.b").alias("start"), F.col("s.b_end").alias("end")))
-    spans = spans.distinct()
     by_start = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    # distinct places of one document: their number is bounded by its length, not by its partners
     runs = spans.select("doc_id", "start", "end").distinct().withColumn("new", (F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(by_start))
     # a pair may have met in several rounds, so links counts the other documents and not the meetings
-    runs = spans.join(runs, ["doc_id", "start", "end"]).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("other").alias("links"))
-    component = connected_components(verified.select("u", "v")).withColumnRenamed("node", "doc_id")
-    joined = runs.join(component, "doc_id")
+    runs = spans.join(cut(runs.drop("new")), ["doc_id", "start", "end"]).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("other").alias("links"))
+    joined = runs.join(component.withColumnRenamed("node", "doc_id"), "doc_id")
     return joined.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("end") - F.col("start")).cast("long").alias("n_words"), "links", F.col("component").alias("component_id"))
