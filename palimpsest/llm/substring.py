@@ -7,17 +7,17 @@ passage length are kept.  They are the top of the tree, hence found without buil
 centres are the minima of sliding intervals of that length, and the tree of the centres alone gives
 their extents.
 
-1. ``FUNCTIONS`` hash functions give windows.  Within a document the windows of every ``ENOUGH`` of
-   them are joined by their intervals: where they overlap, all passages that contain their centres
-   share that many minima.  These minima are the joint window's key, so two documents meet if ``ENOUGH``
-   of the functions agree on some passage of each.
-2. Windows of a key are joined with its pivot, the window of the smallest document (a minimum combined
-   before the shuffle), never pairwise.  Of a pair of documents the intervals that overlap on both
-   sides are merged; each such region is verified by itself.  Texts are fetched once, cut to the words
-   that any shared window of theirs spans.
+1. ``FUNCTIONS`` hash functions give windows.  Each is joined with the half intervals to the left and
+   right of its centre, one of which every passage around the centre contains; the half's minimum under
+   a further function and the centre's shingle are the key.  So two windows meet if two functions agree
+   on overlapping intervals, and have eight chances to.
+2. Windows of a key are joined with its pivot, the first window of the smallest document (minima
+   combined before the shuffle), never pairwise.  Of a pair of documents the intervals that overlap on
+   both sides are merged; each such region is verified by itself.  Texts are fetched once, cut to the
+   words that any shared window of theirs spans.
 3. Within a region common shingles are chained along the diagonal; a chain of the passage length is
    verified by its full shingle sets.
-4. Windows whose centres lie in no passage verified with their key's pivot choose another pivot among
+4. Windows whose centres lie in no verified passage of their document choose another pivot among
    themselves, ``ROUNDS`` times in all.  This only makes the next step smaller.
 5. Links between documents are closed to components.  Windows that are still unverified, or that lie in
    another component than their key's first pivot, are compared with all windows of their key in blocks
@@ -26,8 +26,9 @@ their extents.
 6. Passages of several documents that end at the same place of a third, and go on with the same shingle
    there, meet again in the same way: the smallest document with the others, until none go on.
 
-Two equal passages have equal keys under all functions, so they always meet.  A passage of similarity 0.8
-agrees in at least two of four functions with probability 0.97, a longer one at several places.
+Two equal passages have equal keys under all functions, so they always meet.  A passage of 50 words and
+similarity 0.8 meets with probability 0.98, a longer one at several places.  What may be missed are words
+at an end of a found passage that two documents share beyond what either shares with its pivots.
 """
 
 from __future__ import annotations
@@ -35,20 +36,19 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.scratch import cut, map_arrow, release
 from palimpsest.llm.textkernel import chunks, mix, shingle_hashes, words_of
 
-#: Hash functions, how many of them have to agree, and rounds of pivots before blocks are compared.
-FUNCTIONS, ENOUGH, ROUNDS = 4, 2, 2
+#: Hash functions beside the further one, and rounds of pivots before blocks are compared.
+FUNCTIONS, ROUNDS = 4, 2
 #: Words a shingle, least words a passage, similarity in percent.
 SHINGLE, PASSAGE, PERCENT = 5, 50, 80
 #: Windows of a key that are compared at once, and shingles counted at once.
@@ -56,7 +56,7 @@ BLOCK, COLUMNS = 512, 8192
 #: Chained matches may skip so many shingles, and move so far off the diagonal.
 GAP = 12
 
-_SEEDS = mix(np.arange(101, 101 + 2 * FUNCTIONS, dtype=np.uint64))
+_SEEDS = mix(np.arange(101, 103 + 2 * FUNCTIONS, dtype=np.uint64))
 #: cc holds the first and the last centre, lr both ends; the first of two lies in the upper half.
 WINDOWS = "key long, doc_id long, cc long, lr long"
 
@@ -83,58 +83,49 @@ def _tree(values: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _windows(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The centre of the passage of ``length`` from each place on, and (c, l, r) as ``compact_windows``."""
+def compact_windows(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(c, l, r) of the compact windows of at least ``length``; a hash of 0 parts documents.
+
+    Of equal hashes the leftmost counts as the smallest.
+    """
     n = len(hashes)
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none
     bits = np.uint64(max(1, n.bit_length()))
     places = np.arange(n, dtype=np.uint64)
     packed = (hashes >> bits << bits) | places
-    at = (_sliding_min(packed, length) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    centres = np.union1d(at, np.flatnonzero(hashes == 0))
+    centres = np.unique(_sliding_min(packed, length) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    centres = np.union1d(centres, np.flatnonzero(hashes == 0))
     left, right = _tree(packed[centres].tolist())
     l = np.where(left >= 0, centres[left] + 1, 0)  # noqa: E741
     r = np.where(right < len(centres), centres[np.minimum(right, len(centres) - 1)] - 1, n - 1)
     keep = (hashes[centres] != 0) & (r - l + 1 >= length)
-    return at, centres[keep], l[keep], r[keep]
-
-
-def compact_windows(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(c, l, r) of the compact windows of at least ``length``; a hash of 0 parts documents.
-
-    Of equal hashes the leftmost counts as the smallest.
-    """
-    return _windows(hashes, length)[1:]
+    return centres[keep], l[keep], r[keep]
 
 
-def joint_windows(shingle: np.ndarray, parts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first centre, last centre, l, r) of where the windows of ``ENOUGH`` functions overlap.
+def joint_windows(shingle: np.ndarray, parts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, centre, l, r) of the windows of each function joined with the half intervals beside their centres.
 
-    Every passage of ``length`` has one key for each choice of functions: their minima in it.  ``parts``
-    marks the places between documents.
+    A passage of ``length`` inside a window holds all of the half interval that begins or ends at the
+    centre, to one side at least; the minimum of that half under one further function and the centre's
+    shingle are the key.  ``parts`` marks the places between documents.
     """
-    found = []
+    half = length // 2
+    further = mix(shingle * (_SEEDS[0] | np.uint64(1)) + _SEEDS[1])
+    further[parts] = 0
+    halves = _sliding_min(further, half)
+    out = [[np.zeros(0, np.int64)] * 4]
     for f in range(FUNCTIONS):
-        value = mix(shingle * (_SEEDS[2 * f] | np.uint64(1)) + _SEEDS[2 * f + 1]) | np.uint64(1 << 63)
+        value = mix(shingle * (_SEEDS[2 + 2 * f] | np.uint64(1)) + _SEEDS[3 + 2 * f]) | np.uint64(1 << 63)
         value[parts] = 0
-        found.append(_windows(value, length))
-    out = [[np.zeros(0, np.int64)] * 5]
-    for number, chosen in enumerate(combinations(range(FUNCTIONS), ENOUGH)):
-        at = np.stack([found[f][0] for f in chosen])
-        fresh = ~parts[at[0]]  # a passage over a parting has that as its minimum
-        fresh[1:] &= (at[:, 1:] != at[:, :-1]).any(axis=0)
-        centres = at[:, fresh]
-        key = np.full(centres.shape[1], number + 1, np.uint64)
-        l, r = np.zeros(centres.shape[1], np.int64), np.full(centres.shape[1], len(shingle), np.int64)  # noqa: E741
-        for f, c in zip(chosen, centres, strict=True):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ shingle[c])
-            own = np.searchsorted(found[f][1], c)
-            l, r = np.maximum(l, found[f][2][own]), np.minimum(r, found[f][3][own])  # noqa: E741
-        out.append([key.view(np.int64), centres.min(axis=0), centres.max(axis=0), l, r])
-    key, first, last, l, r = (np.concatenate(x) for x in zip(*out, strict=True))  # noqa: E741
-    return key, first, last, l, r
+        at, l, r = compact_windows(value, length)  # noqa: E741
+        base = mix(shingle[at] + np.uint64(f + 1))
+        for side, fits, begin in ((1, r - at >= half - 1, at), (2, at - l >= half - 1, at - half + 1)):
+            key = mix(base[fits] ^ mix(halves[begin[fits]] + np.uint64(side)))
+            out.append([key.view(np.int64), at[fits], l[fits], r[fits]])
+    key, at, l, r = (np.concatenate(x) for x in zip(*out, strict=True))  # noqa: E741
+    return key, at, l, r
 
 
 def _occurrences(doc: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray, l: np.ndarray, r: np.ndarray) -> list[np.ndarray]:  # noqa: E741
@@ -171,9 +162,8 @@ def _window_batches(batches: Iterator[pa.RecordBatch], k: int, passage: int) ->
             parts = np.zeros(total, bool)
             parts[heads + size - 1] = True
             shingle = whole[np.minimum(w.bounds[rows][row] + place, len(whole) - 1)]
-            key, first, last, l, r = joint_windows(shingle, parts, length)  # noqa: E741
-            doc = row[first]
-            doc, key, first, last, l, r = _occurrences(doc, key, *(place[x] for x in (first, last, l, r)))  # noqa: E741
+            key, at, l, r = joint_windows(shingle, parts, length)  # noqa: E741
+            doc, key, first, last, l, r = _occurrences(row[at], key, *(place[x] for x in (at, at, l, r)))  # noqa: E741
             columns = [key, ids[c.first + rows[doc]], (first << 32) | last, (l << 32) | r]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "doc_id", "cc", "lr"])
 
@@ -379,15 +369,30 @@ def _low(c: str) -> Column:
 
 def _pivoted(windows: DataFrame) -> DataFrame:
     """The windows of keys that several documents have, with the key's pivot: its smallest document's first window."""
-    pivot = windows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").alias("rep"), F.col("cc").alias("rep_cc"), F.col("lr").alias("rep_lr"))).alias("p"), F.max("doc_id").alias("last"))
-    return windows.join(cut(pivot.filter("p.rep < last").select("key", "p.*")), "key")
+    several = windows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").drop("last")
+    members = cut(windows.join(cut(several), "key"))
+    pivots = members.filter("doc_id = rep").groupBy("key").agg(F.min("lr").alias("rep_lr"))
+    return members.join(pivots, "key")
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """doc_id, start, end, run, from, to: each distinct passage of a document and the run of overlapping ones it lies in."""
+    each = found.select("u", "v", F.explode("spans").alias("s"))
+    one = each.select(F.col("u").alias("doc_id"), F.col("s.a").alias("start"), F.col("s.a_end").alias("end"))
+    # distinct places of one document: their number is bounded by its length, not by its partners
+    one = one.unionByName(each.select(F.col("v").alias("doc_id"), F.col("s.b").alias("start"), F.col("s.b_end").alias("end"))).distinct()
+    by_start = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    one = one.withColumn("new", (F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(by_start)).drop("new")
+    whole = Window.partitionBy("doc_id", "run")
+    return one.withColumns({"from": F.min("start").over(whole), "to": F.max("end").over(whole)})
 
 
 def _left(members: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """The windows but the pivots whose centres lie in no passage verified with the pivot's document."""
-    met = found.select(F.col("u").alias("rep"), F.col("v").alias("doc_id"), "spans")
-    rest = members.filter("doc_id <> rep or cc <> rep_cc").withColumns({"first": _high("cc"), "last": _low("cc")}).join(met, ["rep", "doc_id"], "left")
-    inside = F.exists("spans", lambda s: (s["b"] <= F.col("first")) & (F.col("last") + k <= s["b_end"]))
+    """The windows but the pivots whose centres lie in no verified passage of their document."""
+    runs = _merged(found).groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("runs"))
+    rest = members.filter("doc_id <> rep or lr <> rep_lr").withColumns({"first": _high("cc"), "last": _low("cc")}).join(runs, "doc_id", "left")
+    inside = F.exists("runs", lambda s: (s["from"] <= F.col("first")) & (F.col("last") + k <= s["to"]))
     return rest.filter(~F.coalesce(inside, F.lit(False))).select("key", "doc_id", "cc", "lr")
 
 
@@ -398,10 +403,9 @@ def _compared(members: DataFrame, loose: DataFrame, component: DataFrame, slices
     """
     spark = members.sparkSession
     home = component.withColumnRenamed("node", "doc_id")
-    flagged = members.join(loose.select("key", "doc_id", "cc", F.lit(False).alias("settled")), ["key", "doc_id", "cc"], "left").fillna(True, "settled")
+    flagged = members.join(loose.select("key", "doc_id", "cc", F.lit(False).alias("settled")).distinct(), ["key", "doc_id", "cc"], "left").fillna(True, "settled")
     placed = cut(flagged.join(home, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-    pivot = F.col("doc_id") == F.col("rep")
-    pivot &= F.col("cc") == F.col("rep_cc")
+    pivot = (F.col("doc_id") == F.col("rep")) & (F.col("lr") == F.col("rep_lr"))
     keys = placed.groupBy("key").agg(F.max(F.when(pivot, F.col("component"))).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("settled").alias("done"))
     keys = keys.filter("not done or low < high").select("key", "main")
     marked = placed.filter(~pivot).join(keys, "key").withColumn("outsider", ~F.col("settled") | (F.col("component") != F.col("main")))
@@ -426,6 +430,11 @@ def _compared(members: DataFrame, loose: DataFrame, component: DataFrame, slices
     return cut(dealt.groupBy("key", "bu", "bv").applyInArrow(lambda t: _block_pairs(t, k, passage, percent), SPANS))
 
 
+def _none(spark: SparkSession) -> DataFrame:
+    """No passages."""
+    return spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(None).cast(SPANS.split(" spans ")[1]).alias("spans"))
+
+
 def _meetings(pairs: DataFrame, slices: DataFrame, k: int, passage: int, percent: int) -> DataFrame:
     """Verified passages of document pairs (u, v), each with the interval pairs ``met``."""
     side = lambda p, t, o: slices.select(F.col("doc_id").alias(p), F.col("text").alias(t), F.col("lo").alias(o))
@@ -433,18 +442,21 @@ def _meetings(pairs: DataFrame, slices: DataFrame, k: int, passage: int, percent
     return cut(map_arrow(both, lambda it: _verified(it, k, passage, percent), SPANS))
 
 
-def _going_on(found: DataFrame) -> DataFrame:
-    """Document pairs whose passages end at the same place of a third document and go on alike beyond it.
+def _going_on(every: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Document pairs whose fresh passages end at the same place of a third document and go on alike beyond it.
 
-    Of those that go on with the same shingle the smallest document meets the others.
+    Ends that lie inside a longer run of their document need nothing more.  Of those that go on with the
+    same shingle the smallest document meets the others.
     """
-    each = found.select("u", "v", F.explode("spans").alias("s"))
-    end = lambda side, at, mark, lo, hi: each.select("u", "v", F.lit(side).alias("side"), F.col(at).alias("at"), F.col(mark).alias("mark"), ((F.shiftleft(lo.cast("long"), 32)) + hi).alias("lr"))
-    far = F.lit((1 << 31) - 1)
-    ends = end(0, "s.a_end", "s.after", F.col("s.b"), far).unionByName(end(1, "s.a", "s.before", F.lit(0), F.col("s.b_end"))).filter("mark <> 0")
+    runs = _merged(every).select(F.col("doc_id").alias("v"), "from", "to").distinct()
+    each = fresh.select("u", "v", F.explode("spans").alias("s"))
+    end = lambda side, at, own, mark, lo, hi: each.select("u", "v", F.lit(side).alias("side"), F.col(at).alias("at"), F.col(own).alias("own"), F.col(mark).alias("mark"), (F.shiftleft(lo.cast("long"), 32) + hi).alias("lr"))
+    ends = end(0, "s.a_end", "s.b_end", "s.after", F.col("s.b"), F.lit((1 << 31) - 1)).unionByName(end(1, "s.a", "s.b", "s.before", F.lit(0), F.col("s.b_end"))).filter("mark <> 0")
+    open_ends = runs.select("v", F.lit(0).alias("side"), F.col("to").alias("own")).unionByName(runs.select("v", F.lit(1).alias("side"), F.col("from").alias("own")))
+    ends = ends.join(open_ends, ["v", "side", "own"], "left_semi")
     by = ["u", "side", "at", "mark"]
     least = ends.groupBy(*by).agg(F.min(F.struct(F.col("v").alias("first"), F.col("lr").alias("lra"))).alias("m"), F.max("v").alias("last"))
-    pairs = ends.join(cut(least.filter("m.first < last").select(*by, "m.*")), by).filter("v <> first")
+    pairs = ends.join(least.filter("m.first < last").select(*by, "m.*"), by).filter("v <> first")
     return pairs.groupBy(F.col("first").alias("u"), "v").agg(F.collect_set(F.struct("lra", F.col("lr").alias("lrb"))).alias("met"))
 
 
@@ -467,26 +479,25 @@ def repeated_passages(docs: DataFrame, text: str = "text", k: int = SHINGLE, pas
     hulls = members.groupBy("doc_id").agg(F.min(_high("lr")).alias("lo"), F.max(_low("lr")).alias("hi"))
     slices = source.join(hulls, "doc_id").dropDuplicates(["doc_id"])
     slices = cut(map_arrow(slices, lambda it: _slices(it, k), "doc_id long, lo int, text string"))
-    turn, verified, loose = members, [], []
+    turn, loose = members, []
+    every = _none(docs.sparkSession)
     for i in range(ROUNDS):
         met = F.collect_list(F.struct(F.col("rep_lr").alias("lra"), F.col("lr").alias("lrb"))).alias("met")
-        found = _meetings(turn.filter("doc_id <> rep").groupBy(F.col("rep").alias("u"), F.col("doc_id").alias("v")).agg(met), slices, k, passage, percent)
-        verified.append(found)
-        left = cut(_left(turn, found, k))
+        every = every.unionByName(_meetings(turn.filter("doc_id <> rep").groupBy(F.col("rep").alias("u"), F.col("doc_id").alias("v")).agg(met), slices, k, passage, percent))
         if i:  # later pivots have not met the windows of earlier ones
-            loose.append(turn.filter("doc_id = rep and cc = rep_cc").select("key", "doc_id", "cc"))
+            loose.append(turn.filter("doc_id = rep and lr = rep_lr").select("key", "doc_id", "cc", "lr"))
+        left = cut(_left(turn, every, k))
         if i + 1 < ROUNDS:
             turn = cut(_pivoted(left))
             if turn.isEmpty():
                 break
-    loose.append(left.select("key", "doc_id", "cc"))
-    every = reduce(DataFrame.unionByName, verified)
+    loose = reduce(DataFrame.unionByName, loose, left)
     component = cut(connected_components(every.select("u", "v")))
-    more = _compared(members, reduce(DataFrame.unionByName, loose), component, slices, k, passage, percent)
+    more = _compared(members, loose, component, slices, k, passage, percent)
     if not more.isEmpty():
         component = connected_components(component.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select("u", "v")))
     every = fresh = every.unionByName(more)
-    while not (pairs := cut(_going_on(fresh))).isEmpty():
+    while not (pairs := cut(_going_on(every, fresh))).isEmpty():
         fresh = _meetings(pairs, slices, k, passage, percent)
         every = every.unionByName(fresh)
     return _runs(every, component)
@@ -497,11 +508,7 @@ def _runs(verified: DataFrame, component: DataFrame) -> DataFrame:
     each = verified.select("u", "v", F.explode("spans").alias("s"))
     spans = each.select(F.col("u").alias("doc_id"), F.col("v").alias("other"), F.col("s.a").alias("start"), F.col("s.a_end").alias("end"))
     spans = spans.unionByName(each.select(F.col("v").alias("doc_id"), F.col("u").alias("other"), F.col("s.b").alias("start"), F.col("s.b_end").alias("end")))
-    by_start = Window.partitionBy("doc_id").orderBy("start", "end")
-    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    # distinct places of one document: their number is bounded by its length, not by its partners
-    runs = spans.select("doc_id", "start", "end").distinct().withColumn("new", (F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(by_start))
     # a pair may have met in several rounds, so links counts the other documents and not the meetings
-    runs = spans.join(cut(runs.drop("new")), ["doc_id", "start", "end"]).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("other").alias("links"))
+    runs = spans.join(cut(_merged(verified)), ["doc_id", "start", "end"]).groupBy("doc_id", F.col("from").alias("start"), F.col("to").alias("end")).agg(F.countDistinct("other").alias("links"))
     joined = runs.join(component.withColumnRenamed("node", "doc_id"), "doc_id")
     return joined.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("end") - F.col("start")).cast("long").alias("n_words"), "links", F.col("component").alias("component_id"))
