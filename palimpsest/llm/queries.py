@@ -72,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_nearest_neighbours": ann.SQL,
     "op5_license_scan": licences.sql(),
     "op6_chat_formatting": chat.SQL,
     "op9_mixing": mixing.SQL,
