@@ -7,7 +7,10 @@ longest common prefix of neighbours comes from the ranks kept of each doubling.
 that starts at a position is the larger of its two neighbouring prefixes, and the union of the spans
 of all maximal repeated substrings of at least ``min_repeat`` words is the union of these runs.
 
-The verdict limits the covered fraction of the words and the longest repeat.
+The verdict limits the covered fraction of the words and the longest repeat.  The base rule looks at
+repeats of eight words and more; the covered fraction counts repeats from five words on, so texts that go
+round in short phrases fail too, and the longest repeat has a limit that a text can break with little
+of it covered.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from palimpsest.llm.textkernel import Chunk, Words, chunks, code_points, span_ha
 
 #: A repeat is counted from this many words on.
 MIN_REPEAT = 8
-#: A document with a larger share of its words inside repeats is rejected.
-MAX_COVERED = 0.30
+#: A document with a larger share of its words inside repeats of at least ``MIN_COVERED`` words is rejected.
+MIN_COVERED, MAX_COVERED = 5, 0.30
 #: A document of which one repeat is longer, in words, is rejected if it also fills MAX_LONGEST_SHARE of it.
 #: Two copies cover twice that share, so it has to stay well under half of MAX_COVERED to reject anything more.
 MAX_LONGEST = 200
@@ -36,7 +39,7 @@ MIN_WORDS = 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, repeat_spans array<struct<start:long,length:long>>"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered_words long, longest_repeat long, repeat_spans array<struct<start:long,length:long>>"
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
@@ -150,7 +153,7 @@ def _spans(covered: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.searchsorted(starts, bounds), starts - bounds[doc], ends - starts
 
 
-def measure_batches(batches: Iterator[pa.RecordBatch], column: str, min_repeat: int) -> Iterator[pa.RecordBatch]:
+def measure_batches(batches: Iterator[pa.RecordBatch], column: str, min_repeat: int = MIN_REPEAT, min_covered: int = MIN_COVERED) -> Iterator[pa.RecordBatch]:
     """The input's columns with the measures of the text column appended."""
     for batch in batches:
         for c in chunks(batch.column(column)):
@@ -173,11 +176,11 @@ def measure_batches(batches: Iterator[pa.RecordBatch], column: str, min_repeat:
             part = batch.slice(c.first, c.n)
             columns = [
                 n_words, chars[w.bounds[1:]] - chars[w.bounds[:-1]], symbols[c.offs[1:]] - symbols[c.offs[:-1]],
-                _dup_lines(c, w), _per_document(covered, w.bounds), longest,
+                _dup_lines(c, w), _per_document(covered, w.bounds), _per_document(_covered(run, min_covered, len(run)), w.bounds), longest,
             ]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, *(pa.array(x, pa.int64()) for x in columns), spans],
-                [*part.schema.names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat", "repeat_spans"],
+                [*part.schema.names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat", "repeat_spans"],
             )
 
 
@@ -186,16 +189,19 @@ def _drop_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.drop_columns(["__text"])
 
 
-def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_repeat: int = MIN_REPEAT) -> DataFrame:
+def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_repeat: int = MIN_REPEAT, min_covered: int = MIN_COVERED) -> DataFrame:
     """Measures of each document beside the columns named in ``keep``.
 
+    n_repeat_words, longest_repeat and repeat_spans count repeats of at least ``min_repeat`` words,
+    n_covered_words the words inside repeats of at least ``min_covered``.
+
     One row per input row, repeated rows included.  A null or empty text has no words and measures
     of zero; an empty table gives an empty result; columns not named in ``keep`` do not take part,
     so they may have any name.
     """
     source = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
-    return map_arrow(source, lambda it: _drop_text(measure_batches(it, "__text", min_repeat)), f"{fields}, {MEASURES}")
+    return map_arrow(source, lambda it: _drop_text(measure_batches(it, "__text", min_repeat, min_covered)), f"{fields}, {MEASURES}")
 
 
 def verdict(
@@ -207,13 +213,13 @@ def verdict(
 ) -> DataFrame:
     """Adds base_failed (too few words, or too many inside 8-word repeats) and kept.
 
-    kept is false where base_failed, or where the repeats cover more than ``max_covered`` of the
-    words, or where the longest repeat has over ``max_longest`` words and over ``max_longest_share``
+    kept is false where base_failed, or where repeats of the shorter kind cover more than
+    ``max_covered`` of the words, or where the longest repeat has over ``max_longest`` words and over ``max_longest_share``
     of the document.
     """
     words = F.col("n_words")
     failed = (words < min_words) | (100 * F.col("n_repeat_words") > 30 * words)
-    covered = F.col("n_repeat_words") > F.lit(max_covered) * words
+    covered = F.col("n_covered_words") > F.lit(max_covered) * words
     longest = (F.col("longest_repeat") > max_longest) & (F.col("longest_repeat") > F.lit(max_longest_share) * words)
     return measured.withColumns({"base_failed": failed, "kept": ~(failed | covered | longest)})
 
@@ -225,3 +231,37 @@ def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     at = f"__c{names.index(text)}"
     kept = verdict(measure(marked, at, tuple(marked.columns))).filter("kept")
     return kept.select(*(F.col(f"__c{i}").alias(n) for i, n in enumerate(names)))
+
+
+def sql() -> str:
+    """The measures and the verdict over documents, for DuckDB: repeated windows instead of suffix arrays."""
+    inside = lambda k: f"""
+  SELECT r, count(DISTINCT place) AS n FROM (
+    SELECT r, unnest(range(i, i + {k})) AS place FROM (
+      SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(list_slice(ws, i, i + {k} - 1), ' ')) AS times FROM (SELECT r, ws, unnest(range(1, n_words - {k} + 2)) AS i FROM w)
+    ) WHERE times > 1
+  ) GROUP BY r"""
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT *, len(ws)::BIGINT AS n_words FROM d
+), l AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), a AS ({inside(MIN_REPEAT)}
+), b AS ({inside(MIN_COVERED)}
+), m AS (
+  SELECT w.r, ws, n_words, greatest({MAX_LONGEST} + 1, floor({MAX_LONGEST_SHARE}::DOUBLE * n_words)::BIGINT + 1) AS k FROM w JOIN a ON a.r = w.r AND a.n > {MAX_LONGEST}
+), g AS (
+  SELECT r, bool_or(times > 1) AS long FROM (
+    SELECT r, count(*) OVER (PARTITION BY r, hash(list_slice(ws, i, i + k - 1))) AS times FROM (SELECT r, ws, k, unnest(range(1, n_words - k + 2)) AS i FROM m)
+  ) GROUP BY r
+), x AS (
+  SELECT doc_id, n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(a.n, 0)::BIGINT AS n_repeat_words, coalesce(b.n, 0)::BIGINT AS n_covered_words, coalesce(g.long, false) AS long
+  FROM w LEFT JOIN l USING (r) LEFT JOIN a USING (r) LEFT JOIN b USING (r) LEFT JOIN g USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words OR n_covered_words > {MAX_COVERED}::DOUBLE * n_words OR long) AS kept, n_covered_words
+FROM x
+"""

@@ -45,7 +45,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality.verdict(quality.measure(_table(spark, sf_dir, "documents")))
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat")
+    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +75,6 @@ ORACLES: dict[str, str] = {
     "op2_nearest_neighbours": ann.SQL,
     "op5_license_scan": licences.sql(),
     "op6_chat_formatting": chat.SQL,
+    "op8_quality_rules": quality.sql(),
     "op9_mixing": mixing.SQL,
 }

@@ -8,9 +8,9 @@ centres are the minima of sliding intervals of that length, and the tree of the
 their extents.
 
 1. ``FUNCTIONS`` hash functions give windows.  Each is joined with the half intervals to the left and
-   right of its centre, one of which every passage around the centre contains; the half's minimum under
-   a further function and the centre's shingle are the key.  So two windows meet if two functions agree
-   on overlapping intervals, and have eight chances to.
+   right of its centre, one of which every passage around the centre contains; the half's minima under
+   ``FURTHER`` more functions and the centre's shingle are the key.  So two windows meet if three functions
+   agree on overlapping intervals, and have ten chances to.
 2. Windows of a key are joined with its pivot, the first window of the smallest document (minima
    combined before the shuffle), never pairwise.  Of a pair of documents the intervals that overlap on
    both sides are merged; each such region is verified by itself.  Texts are fetched once, cut to the
@@ -19,15 +19,15 @@ their extents.
    verified by its full shingle sets.
 4. Windows whose centres lie in no verified passage of their document choose another pivot among
    themselves, ``ROUNDS`` times in all.  This only makes the next step smaller.
-5. Links between documents are closed to components.  Windows that are still unverified, or that lie in
-   another component than their key's first pivot, are compared with all windows of their key in blocks
-   of ``BLOCK``; only two verified windows of one component need not meet.  So no two windows of a key that
-   hold a common passage stay unconnected, and no window that has a partner stays unfound.
+5. Links between documents are closed to components.  Outsiders are windows that are still unverified,
+   or that lie in another component than their key's first pivot.  They are compared with all windows of
+   their key, in blocks of ``BLOCK``; only two verified windows of one component need not meet.  So no two
+   windows of a key that hold a common passage stay unconnected, and no window with a partner unfound.
 6. Passages of several documents that end at the same place of a third, and go on with the same shingle
    there, meet again in the same way: the smallest document with the others, until none go on.
 
 Two equal passages have equal keys under all functions, so they always meet.  A passage of 50 words and
-similarity 0.8 meets with probability 0.98, a longer one at several places.  What may be missed are words
+similarity 0.8 meets with probability 0.97, a longer one at several places.  What may be missed are words
 at an end of a found passage that two documents share beyond what either shares with its pivots.
 """
 
@@ -35,20 +35,19 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.scratch import cut, map_arrow, release
-from palimpsest.llm.textkernel import chunks, mix, shingle_hashes, words_of
+from palimpsest.llm.textkernel import Chunk, chunks, mix, shingle_hashes, words_of
 
-#: Hash functions beside the further one, and rounds of pivots before blocks are compared.
-FUNCTIONS, ROUNDS = 4, 2
+#: Hash functions of centres, further ones of half intervals, and rounds of pivots before blocks are compared.
+FUNCTIONS, FURTHER, ROUNDS = 5, 2, 2
 #: Words a shingle, least words a passage, similarity in percent.
 SHINGLE, PASSAGE, PERCENT = 5, 50, 80
 #: Windows of a key that are compared at once, and shingles counted at once.
@@ -56,7 +55,7 @@ BLOCK, COLUMNS = 512, 8192
 #: Chained matches may skip so many shingles, and move so far off the diagonal.
 GAP = 12
 
-_SEEDS = mix(np.arange(101, 103 + 2 * FUNCTIONS, dtype=np.uint64))
+_SEEDS = mix(np.arange(101, 101 + 2 * (FUNCTIONS + FURTHER), dtype=np.uint64))
 #: cc holds the first and the last centre, lr both ends; the first of two lies in the upper half.
 WINDOWS = "key long, doc_id long, cc long, lr long"
 
@@ -83,6 +82,18 @@ def _tree(values: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def _packed(hashes: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """Hashes with their places in the lowest bits, and the mask of these."""
+    bits = np.uint64(max(1, len(hashes).bit_length()))
+    return (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64), (np.uint64(1) << bits) - np.uint64(1)
+
+
+def _centres(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Where the minimum of the passage from each place on sits."""
+    packed, mask = _packed(hashes)
+    return (_sliding_min(packed, length) & mask).astype(np.int64) if len(hashes) >= length else np.zeros(0, np.int64)
+
+
 def compact_windows(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(c, l, r) of the compact windows of at least ``length``; a hash of 0 parts documents.
 
@@ -92,12 +103,8 @@ def compact_windows(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     if n < length:
         none = np.zeros(0, np.int64)
         return none, none, none
-    bits = np.uint64(max(1, n.bit_length()))
-    places = np.arange(n, dtype=np.uint64)
-    packed = (hashes >> bits << bits) | places
-    centres = np.unique(_sliding_min(packed, length) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    centres = np.union1d(centres, np.flatnonzero(hashes == 0))
-    left, right = _tree(packed[centres].tolist())
+    centres = np.union1d(_centres(hashes, length), np.flatnonzero(hashes == 0))
+    left, right = _tree(_packed(hashes)[0][centres].tolist())
     l = np.where(left >= 0, centres[left] + 1, 0)  # noqa: E741
     r = np.where(right < len(centres), centres[np.minimum(right, len(centres) - 1)] - 1, n - 1)
     keep = (hashes[centres] != 0) & (r - l + 1 >= length)
@@ -108,17 +115,18 @@ def joint_windows(shingle: np.ndarray, parts: np.ndarray, length: int) -> tuple[
     """(key, centre, l, r) of the windows of each function joined with the half intervals beside their centres.
 
     A passage of ``length`` inside a window holds all of the half interval that begins or ends at the
-    centre, to one side at least; the minimum of that half under one further function and the centre's
+    centre, to one side at least; the minima of that half under the further functions and the centre's
     shingle are the key.  ``parts`` marks the places between documents.
     """
     half = length // 2
-    further = mix(shingle * (_SEEDS[0] | np.uint64(1)) + _SEEDS[1])
-    further[parts] = 0
-    halves = _sliding_min(further, half)
-    out = [[np.zeros(0, np.int64)] * 4]
-    for f in range(FUNCTIONS):
-        value = mix(shingle * (_SEEDS[2 + 2 * f] | np.uint64(1)) + _SEEDS[3 + 2 * f]) | np.uint64(1 << 63)
+    values = [mix(shingle * (_SEEDS[2 * f] | np.uint64(1)) + _SEEDS[2 * f + 1]) | np.uint64(1 << 63) for f in range(FUNCTIONS + FURTHER)]
+    for value in values:
         value[parts] = 0
+    halves = np.zeros(max(0, len(shingle) - half + 1), np.uint64)
+    for value in values[FUNCTIONS:]:
+        halves = mix(halves ^ _sliding_min(value, half)) if len(halves) else halves
+    out = [[np.zeros(0, np.int64)] * 4]
+    for f, value in enumerate(values[:FUNCTIONS]):
         at, l, r = compact_windows(value, length)  # noqa: E741
         base = mix(shingle[at] + np.uint64(f + 1))
         for side, fits, begin in ((1, r - at >= half - 1, at), (2, at - l >= half - 1, at - half + 1)):
@@ -143,26 +151,31 @@ def _occurrences(doc: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.n
     return [doc[heads], key[heads], np.minimum.reduceat(first, heads), np.maximum.reduceat(last, heads), l[heads], np.maximum.reduceat(r, heads)]
 
 
+def _laid_out(c: Chunk, k: int, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """rows of a chunk that hold a passage; row, place and shingle of each place of theirs, and which ones part them."""
+    w = words_of(c, fold_case=True)
+    words = np.diff(w.bounds)
+    rows = np.flatnonzero(words >= passage)
+    if not len(rows):
+        return None
+    whole = shingle_hashes(w.hashes, k)
+    size = words[rows] - k + 2  # with one place that parts documents
+    heads = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(rows)), size)
+    place = np.arange(int(size.sum())) - heads[row]
+    parts = np.zeros(len(place), bool)
+    parts[heads + size - 1] = True
+    return rows, row, place, whole[np.minimum(w.bounds[rows][row] + place, len(whole) - 1)], parts
+
+
 def _window_batches(batches: Iterator[pa.RecordBatch], k: int, passage: int) -> Iterator[pa.RecordBatch]:
-    length = passage - k + 1
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for c in chunks(batch.column(1)):
-            w = words_of(c, fold_case=True)
-            words = np.diff(w.bounds)
-            rows = np.flatnonzero(words >= passage)
-            if not len(rows):
+            if (laid := _laid_out(c, k, passage)) is None:
                 continue
-            whole = shingle_hashes(w.hashes, k)
-            size = words[rows] - k + 2  # with one place that parts documents
-            heads = np.cumsum(size) - size
-            total = int(size.sum())
-            row = np.repeat(np.arange(len(rows)), size)
-            place = np.arange(total) - heads[row]
-            parts = np.zeros(total, bool)
-            parts[heads + size - 1] = True
-            shingle = whole[np.minimum(w.bounds[rows][row] + place, len(whole) - 1)]
-            key, at, l, r = joint_windows(shingle, parts, length)  # noqa: E741
+            rows, row, place, shingle, parts = laid
+            key, at, l, r = joint_windows(shingle, parts, passage - k + 1)  # noqa: E741
             doc, key, first, last, l, r = _occurrences(row[at], key, *(place[x] for x in (at, at, l, r)))  # noqa: E741
             columns = [key, ids[c.first + rows[doc]], (first << 32) | last, (l << 32) | r]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "doc_id", "cc", "lr"])
@@ -396,49 +409,51 @@ def _left(members: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return rest.filter(~F.coalesce(inside, F.lit(False))).select("key", "doc_id", "cc", "lr")
 
 
-def _compared(members: DataFrame, loose: DataFrame, component: DataFrame, slices: DataFrame, k: int, passage: int, percent: int) -> DataFrame:
-    """Verified passages between each key's outsiders and all its windows, dealt in pairs of blocks.
+def _open(members: DataFrame, loose: DataFrame, component: DataFrame) -> DataFrame:
+    """key, doc_id, cc, lr, component, settled, outsider: all windows but the first pivot of each key that has outsiders.
 
-    Outsiders are the windows in ``loose`` and those of another component than the key's first pivot.
+    Outsiders are the windows in ``loose``, which are not settled, and those of another component than
+    the pivot's.
     """
-    spark = members.sparkSession
-    home = component.withColumnRenamed("node", "doc_id")
-    flagged = members.join(loose.select("key", "doc_id", "cc", F.lit(False).alias("settled")).distinct(), ["key", "doc_id", "cc"], "left").fillna(True, "settled")
-    placed = cut(flagged.join(home, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     pivot = (F.col("doc_id") == F.col("rep")) & (F.col("lr") == F.col("rep_lr"))
-    keys = placed.groupBy("key").agg(F.max(F.when(pivot, F.col("component"))).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("settled").alias("done"))
-    keys = keys.filter("not done or low < high").select("key", "main")
-    marked = placed.filter(~pivot).join(keys, "key").withColumn("outsider", ~F.col("settled") | (F.col("component") != F.col("main")))
-    marked = marked.select("key", "doc_id", _high("lr").alias("l"), _low("lr").alias("r"), "component", "settled", "outsider").join(slices.withColumnRenamed("lo", "o"), "doc_id")
-    keep = ("key", "doc_id", "l", "component", "settled", "outsider")
-    marked = marked.select(*keep, (F.col("l") - F.col("o")).alias("lo"), (F.col("r") - F.col("o")).alias("hi"), "text")
-    rows = cut(map_arrow(marked, lambda it: _slices(it, k, keep), "key long, doc_id long, l int, component long, settled boolean, outsider boolean, text string"))
-    release(spark, placed)
-    # equal texts of one component are found already: one of them stands for all
-    open_rows = rows.filter("not settled")
-    alike = rows.filter("settled").groupBy("key", "component", "outsider", "text").agg(F.min(F.struct("doc_id", "l")).alias("m"))
-    rows = open_rows.unionByName(alike.select("key", "m.doc_id", "m.l", "component", F.lit(True).alias("settled"), "outsider", "text"))
-    rows = cut(rows)
-    sized = rows.groupBy("key").agg(F.count_if("outsider").alias("n_out"), F.count("*").alias("n")).filter("n_out > 0 and n > 1")
+    flagged = members.join(loose.select("key", "doc_id", "cc", F.lit(False).alias("settled")).distinct(), ["key", "doc_id", "cc"], "left").fillna(True, "settled")
+    placed = flagged.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = cut(placed.withColumn("pivot", pivot).select("key", "doc_id", "cc", "lr", "component", "settled", "pivot"))
+    keys = placed.groupBy("key").agg(
+        F.max(F.when(F.col("pivot"), F.col("component"))).alias("main"), F.count_if(~F.col("pivot")).alias("n"),
+        F.min("settled").alias("done"), F.min("component").alias("low"), F.max("component").alias("high"),
+    )
+    keys = cut(keys.filter("n > 1 and (not done or low < high)").select("key", "main"))
+    marked = placed.filter("not pivot").join(keys, "key").withColumn("outsider", ~F.col("settled") | (F.col("component") != F.col("main"))).drop("pivot", "main")
+    some = marked.filter("outsider").select("key").distinct()
+    return cut(marked.join(some, "key", "left_semi"))
+
+
+def _with_text(windows: DataFrame, slices: DataFrame, k: int, keep: str) -> DataFrame:
+    """The columns named in ``keep`` (l among them) and the text of each window."""
+    names = tuple(x.split()[0] for x in keep.split(", "))
+    placed = windows.withColumns({"l": _high("lr"), "r": _low("lr")}).join(slices.withColumnRenamed("lo", "o"), "doc_id")
+    placed = placed.select(*names, (F.col("l") - F.col("o")).alias("lo"), (F.col("r") - F.col("o")).alias("hi"), "text")
+    return map_arrow(placed, lambda it: _slices(it, k, names), f"{keep}, text string")
+
+
+def _compared(opened: DataFrame, slices: DataFrame, k: int, passage: int, percent: int) -> DataFrame:
+    """Verified passages between each key's outsiders and all its windows, dealt in pairs of blocks."""
+    rows = cut(_with_text(opened, slices, k, "key long, doc_id long, l int, component long, settled boolean, outsider boolean"))
+    sized = rows.groupBy("key").agg(F.count_if("outsider").alias("n_out"), F.count("*").alias("n"))
     nu, nv = F.ceil(F.col("n_out") / BLOCK).cast("int").alias("nu"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nv")
-    rows = rows.join(sized.select("key", nu, nv), "key")
+    dealt = rows.join(sized.select("key", nu, nv), "key")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    payload = [*keep, "text"]
-    dealt = rows.filter("outsider").select(*payload, own("nu").alias("bu"), others("nv").alias("bv"), F.lit(True).alias("asks"))
-    dealt = dealt.unionByName(rows.select(*payload, others("nu").alias("bu"), own("nv").alias("bv"), F.lit(False).alias("asks")))
-    return cut(dealt.groupBy("key", "bu", "bv").applyInArrow(lambda t: _block_pairs(t, k, passage, percent), SPANS))
-
-
-def _none(spark: SparkSession) -> DataFrame:
-    """No passages."""
-    return spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(None).cast(SPANS.split(" spans ")[1]).alias("spans"))
+    asking = dealt.filter("outsider").select(*rows.columns, own("nu").alias("bu"), others("nv").alias("bv"), F.lit(True).alias("asks"))
+    asked = dealt.select(*rows.columns, others("nu").alias("bu"), own("nv").alias("bv"), F.lit(False).alias("asks"))
+    return cut(asking.unionByName(asked).groupBy("key", "bu", "bv").applyInArrow(lambda t: _block_pairs(t, k, passage, percent), SPANS))
 
 
 def _meetings(pairs: DataFrame, slices: DataFrame, k: int, passage: int, percent: int) -> DataFrame:
     """Verified passages of document pairs (u, v), each with the interval pairs ``met``."""
     side = lambda p, t, o: slices.select(F.col("doc_id").alias(p), F.col("text").alias(t), F.col("lo").alias(o))
-    both = cut(pairs).join(side("u", "ta", "oa"), "u").join(side("v", "tb", "ob"), "v")
+    both = pairs.join(side("u", "ta", "oa"), "u").join(side("v", "tb", "ob"), "v")
     return cut(map_arrow(both, lambda it: _verified(it, k, passage, percent), SPANS))
 
 
@@ -479,24 +494,30 @@ def repeated_passages(docs: DataFrame, text: str = "text", k: int = SHINGLE, pas
     hulls = members.groupBy("doc_id").agg(F.min(_high("lr")).alias("lo"), F.max(_low("lr")).alias("hi"))
     slices = source.join(hulls, "doc_id").dropDuplicates(["doc_id"])
     slices = cut(map_arrow(slices, lambda it: _slices(it, k), "doc_id long, lo int, text string"))
-    turn, loose = members, []
-    every = _none(docs.sparkSession)
-    for i in range(ROUNDS):
+
+    def pivots(windows: DataFrame) -> DataFrame:
+        """Verified passages between the windows and their pivots."""
         met = F.collect_list(F.struct(F.col("rep_lr").alias("lra"), F.col("lr").alias("lrb"))).alias("met")
-        every = every.unionByName(_meetings(turn.filter("doc_id <> rep").groupBy(F.col("rep").alias("u"), F.col("doc_id").alias("v")).agg(met), slices, k, passage, percent))
-        if i:  # later pivots have not met the windows of earlier ones
-            loose.append(turn.filter("doc_id = rep and lr = rep_lr").select("key", "doc_id", "cc", "lr"))
+        return _meetings(cut(windows.filter("doc_id <> rep").groupBy(F.col("rep").alias("u"), F.col("doc_id").alias("v")).agg(met)), slices, k, passage, percent)
+
+    every = pivots(members)
+    loose = left = cut(_left(members, every, k))
+    for _ in range(ROUNDS - 1):
+        turn = cut(_pivoted(left))
+        if turn.isEmpty():
+            break
+        every = every.unionByName(pivots(turn))
         left = cut(_left(turn, every, k))
-        if i + 1 < ROUNDS:
-            turn = cut(_pivoted(left))
-            if turn.isEmpty():
-                break
-    loose = reduce(DataFrame.unionByName, loose, left)
+        # later pivots, and windows whose key has no others, have not met those of earlier pivots
+        loose = _left(members, every, k)
     component = cut(connected_components(every.select("u", "v")))
-    more = _compared(members, loose, component, slices, k, passage, percent)
-    if not more.isEmpty():
-        component = connected_components(component.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select("u", "v")))
-    every = fresh = every.unionByName(more)
+    opened = _open(members, loose, component)
+    if not opened.isEmpty():
+        more = _compared(opened, slices, k, passage, percent)
+        if not more.isEmpty():
+            every = every.unionByName(more)
+            component = connected_components(component.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select("u", "v")))
+    fresh = every
     while not (pairs := cut(_going_on(every, fresh))).isEmpty():
         fresh = _meetings(pairs, slices, k, passage, percent)
         every = every.unionByName(fresh)

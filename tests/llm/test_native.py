@@ -29,7 +29,7 @@ def con(odd_docs):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_fixture_tables(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     same(QUERIES[name](spark, DATA), c.sql(ORACLES[name]))
 

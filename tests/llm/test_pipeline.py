@@ -18,7 +18,7 @@ def test_stages(spark):
     stages = dict(corpus_pipeline.STAGES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "minhash near-dedup", "pii", "mixing", "packing"]
     rows = {r.doc_id: r.text for r in docs.collect()}
-    kept = {i: t for i, t in rows.items() if (m := test_quality.plain(t))[0] >= 20 and 100 * m[4] <= 30 * m[0]}
+    kept = {i: t for i, t in rows.items() if test_quality.keeps(t)}
     out = stages["quality rules"](spark, docs, DATA)
     assert out.columns == names and {r.doc_id for r in out.collect()} == set(kept)
     unique = {i for i, (_, c) in test_minhash.plain(list(kept.items()), 5, 80).items() if c == i}

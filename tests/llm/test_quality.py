@@ -3,27 +3,36 @@ import random
 import re
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 
 from palimpsest.llm import quality
 
 
 def plain(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    n, inside = len(words), set()
-    runs = collections.Counter(tuple(words[i : i + 8]) for i in range(n - 7))
-    for i in range(n - 7):
-        if runs[tuple(words[i : i + 8])] > 1:
-            inside |= set(range(i, i + 8))
+    n = len(words)
+    inside = {8: set(), 5: set()}
+    for k, found in inside.items():
+        runs = collections.Counter(tuple(words[i : i + k]) for i in range(n - k + 1))
+        for i in range(n - k + 1):
+            if runs[tuple(words[i : i + k])] > 1:
+                found |= set(range(i, i + k))
     seen, repeated = set(), 0
     for line in (text or "").split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", line):
             repeated += line in seen
             seen.add(line)
     longest = next((k for k in range(n, 7, -1) if any(v > 1 for v in collections.Counter(tuple(words[i : i + k]) for i in range(n - k + 1)).values())), 0)
-    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), repeated, len(inside), longest
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), repeated, len(inside[8]), len(inside[5]), longest
 
 
-NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat")
+def keeps(text):
+    """The verdict at the defaults."""
+    n, _, _, _, repeated, covered, longest = plain(text)
+    return n >= 20 and 100 * repeated <= 30 * n and covered <= 0.3 * n and not (longest > 200 and longest > 0.05 * n)
+
+
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat")
 
 
 def test_measures_against_plain_counting():
@@ -40,7 +49,7 @@ def test_verdict_and_filter(spark, odd_docs):
     assert len(rows) == odd_docs.count()
     for row in rows:
         failed = row.n_words < 20 or 100 * row.n_repeat_words > 30 * row.n_words
-        assert row.base_failed is failed and row.kept is not failed
+        assert row.base_failed is failed and row.kept is (not failed)
     kept = quality.filter_documents(odd_docs)
     assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == [6, 7]
     assert quality.measure(odd_docs.limit(0)).count() == 0
@@ -61,3 +70,26 @@ def test_long_repeat_is_rejected_by_the_limits_of_the_query(spark):
     got = {r.doc_id: (r.base_failed, r.kept) for r in quality.verdict(quality.measure(docs)).collect()}
     assert got == {1: (False, False), 2: (False, True), 3: (False, True), 4: (False, False)}
     assert sorted(r.doc_id for r in quality.filter_documents(docs).collect()) == [2, 3]
+
+
+def test_short_phrases_are_rejected_by_the_covered_fraction(spark):
+    """Five- to seven-word phrases again and again, never eight words alike: the base rule keeps them, the method does not."""
+    r = random.Random(3)
+    phrases = [[f"p{i}{j}" for j in range(6)] for i in range(8)]
+    looping = [w for i in range(120) for w in [*phrases[r.randrange(8)], f"u{i}", f"v{i}"]]
+    some = [w for i in range(120) for w in [*(phrases[r.randrange(8)] if i % 4 == 0 else [f"a{i}{j}" for j in range(6)]), f"u{i}", f"v{i}"]]
+    docs = spark.createDataFrame([(1, " ".join(looping)), (2, " ".join(some)), (3, " ".join(looping[:8] * 40))], "doc_id long, text string")
+    got = {x.doc_id: (x.base_failed, x.kept) for x in quality.verdict(quality.measure(docs)).collect()}
+    assert got == {1: (False, False), 2: (False, True), 3: (True, False)}
+
+
+def test_the_method_decides_on_documents_of_the_fixture():
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"])
+    rows = pa.Table.from_batches(list(quality.measure_batches(iter(docs.combine_chunks().to_batches()), "text"))).select(["doc_id", "text", "n_words", "n_repeat_words", "n_covered_words", "longest_repeat"]).to_pylist()
+    base = [x for x in rows if x["n_words"] >= 20 and 100 * x["n_repeat_words"] <= 30 * x["n_words"]]
+    rejected = [x for x in base if x["n_covered_words"] > 0.3 * x["n_words"] or x["longest_repeat"] > max(200, 0.05 * x["n_words"])]
+    assert 0 < len(rejected) < 0.01 * len(rows)
+    assert not any(keeps(x["text"]) for x in rejected[:5])
+    labels = pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pydict()
+    good = {d for d, q in zip(labels["doc_id"], labels["quality"], strict=True) if q == 1}
+    assert not good & {x["doc_id"] for x in rejected}
