@@ -2,9 +2,12 @@
 
 A page is read once from left to right into blocks: the text between tags that begin or end a
 paragraph-like element.  A block has its number of words, its link density (share of words inside
-links), both of these for the block before and after, whether an enclosing element says what it is
-(its tag, role, class or id), and whether it lies in an article or main element and the page has one.
-A decision tree, grown on the labelled table below, tells the article's blocks from the rest.
+links), both of these for the block before and after, how far an enclosing element says that it is
+something else, and whether it lies in an article or main element and the page has one.  A tag, role or
+plain name ("sidebar", "user-comments") says so outright; a name that only mentions such a thing
+("layout-sidebar-right", "has-comments") counts by the share of the page's plain words that lie outside
+its element, so a wrapper around the article counts little.  A decision tree, grown on the labelled table
+below, tells the article's blocks from the rest.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ OTHER_NAMES = frozenset(
     "respond responses share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets".split()
 )
 
+# Parts of a name that speaks of a page's layout and not of what the element holds.
+QUALIFIERS = frozenset("has no not with without show hide layout page is".split())
 MAIN_NAMES = frozenset("article article-body articlebody article-content post-content post-body entry-content story-body main-content maincontent".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z)))", re.S)
@@ -46,32 +51,49 @@ _ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I) for nam
 
 @dataclass
 class Block:
-    """Text between two breaks, its words inside links, and where it lies."""
+    """Text between two breaks, its words inside links, how far (0 to 100) it is something else, and whether an article's."""
 
     text: str
     words: int
     linked: int
-    other: bool
+    other: float
     article: bool
 
 
-def _speaks_of_other(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is by its own account no part of an article."""
+OUTRIGHT, MENTIONED = 2, 1
+
+
+def _named(value: str) -> int:
+    """How far a class or id names something other than an article."""
+    found = 0
+    for token in value.split():
+        parts = [x.lower() for x in _NAME_PART.findall(token)]
+        if OTHER_NAMES.isdisjoint(parts):
+            continue
+        if parts[-1] in OTHER_NAMES and QUALIFIERS.isdisjoint(parts):
+            return OUTRIGHT
+        found = MENTIONED
+    return found
+
+
+def _speaks_of_other(tag: str, attributes: str, in_article: bool) -> int:
+    """How far an element is by its own account no part of an article."""
     if tag in OTHER_TAGS or tag == "header" and not in_article:
-        return True
+        return OUTRIGHT
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return 0
+    found = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return OUTRIGHT
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return OUTRIGHT
         if name == "role" and value.lower() in OTHER_ROLES:
-            return True
-        if name in ("class", "id") and not OTHER_NAMES.isdisjoint(x.lower() for x in _NAME_PART.findall(value)):
-            return True
-    return False
+            return OUTRIGHT
+        if name in ("class", "id"):
+            found = max(found, _named(value))
+    return found
 
 
 def _speaks_of_article(tag: str, attributes: str) -> bool:
@@ -88,7 +110,13 @@ def _speaks_of_article(tag: str, attributes: str) -> bool:
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order; those without a word are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    # of each block, the innermost element around it that mentions something else; of each such
+    # element, the one around it and its plain words
+    around: list[int] = []
+    above: list[int] = []
+    plain: list[int] = []
+    stack: list[tuple[str, bool, bool, int]] = []
+    mention = -1
     pieces: list[str] = []
     linked: list[str] = []
     other = article = link = False
@@ -99,7 +127,10 @@ def blocks_of(page: str) -> list[Block]:
             words = html.unescape("".join(pieces)).split()
             if words:
                 within = len(html.unescape("".join(linked)).split()) if linked else 0
-                out.append(Block(" ".join(words), len(words), min(within, len(words)), other, article))
+                out.append(Block(" ".join(words), len(words), min(within, len(words)), 100.0 * other, article))
+                around.append(mention)
+                if mention >= 0 and not other:
+                    plain[mention] += len(words) - out[-1].linked
             pieces.clear()
             linked.clear()
 
@@ -136,33 +167,44 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "p" and (ending or not m[3].strip(" />")):
             # a paragraph without attributes says nothing, but ends one that does
             if stack and stack[-1][0] == "p":
-                _, other, article = stack.pop()
+                _, other, article, mention = stack.pop()
             continue
         if ending:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     close()
-                    _, other, article = stack[i]
+                    _, other, article, mention = stack[i]
                     del stack[i:]
                     break
         elif not m[3].endswith("/>"):
             new = _speaks_of_other(tag, m[3], article)
             if new and not other:
                 close()
-            stack.append((tag, other, article))
-            other, article = other or new, article or _speaks_of_article(tag, m[3])
+            stack.append((tag, other, article, mention))
+            if new == MENTIONED and not other:
+                above.append(mention)
+                mention = len(plain)
+                plain.append(0)
+            other, article = other or new == OUTRIGHT, article or _speaks_of_article(tag, m[3])
     close()
+    total = max(1, sum(b.words - b.linked for b in out if not b.other))
+    for i in range(len(plain) - 1, -1, -1):  # an element comes after the one around it
+        if above[i] >= 0:
+            plain[above[i]] += plain[i]
+    for b, i in zip(out, around, strict=True):
+        if i >= 0:  # those further out hold more
+            b.other = max(b.other, 100.0 - 100.0 * plain[i] / total)
     return out
 
 
 FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "other", "article", "page_article")
 
-# Labelled blocks: the features above (densities in percent), then 1 for article text.
+# Labelled blocks: the features above (densities and other in percent), then 1 for article text.
 LABELLED = """
-1 100 0 0 1 100 1 0 1 0
-1 100 1 100 1 100 1 0 1 0
-2 100 1 100 14 0 1 0 1 0
-14 0 1 100 12 0 1 0 1 0
+1 100 0 0 1 100 100 0 1 0
+1 100 1 100 1 100 100 0 1 0
+2 100 1 100 14 0 100 0 1 0
+14 0 1 100 12 0 100 0 1 0
 12 0 14 0 60 0 0 1 1 1
 60 0 12 0 3 0 0 1 1 1
 3 0 60 0 1 0 0 1 1 1
@@ -180,7 +222,7 @@ LABELLED = """
 4 0 8 0 9 0 0 1 1 1
 5 0 14 0 8 0 0 1 1 1
 7 0 5 0 6 0 0 1 1 1
-4 100 3 100 5 100 0 1 1 1
+4 100 3 100 5 100 0 1 1 0
 2 100 2 100 20 0 0 1 1 1
 8 50 16 0 3 100 0 1 1 1
 10 0 14 0 8 0 0 1 1 1
@@ -201,10 +243,10 @@ LABELLED = """
 25 0 100 0 12 0 0 0 1 0
 150 2 40 0 40 0 0 0 1 0
 7 0 50 0 30 0 0 0 1 0
-8 0 200 0 0 0 1 0 1 0
-40 0 12 0 9 0 1 1 1 0
-15 20 40 0 10 0 1 1 1 0
-70 0 30 0 80 0 1 0 1 0
+8 0 200 0 0 0 100 0 1 0
+40 0 12 0 9 0 100 1 1 0
+15 20 40 0 10 0 100 1 1 0
+70 0 30 0 80 0 100 0 1 0
 30 0 100 0 20 0 0 0 1 0
 60 0 25 0 0 0 0 0 1 0
 5 0 60 0 4 100 0 0 1 0
@@ -273,28 +315,56 @@ LABELLED = """
 35 0 0 0 0 0 0 0 0 1
 4 0 0 0 0 0 0 0 0 1
 150 1 0 0 0 0 0 0 0 1
-22 0 22 0 2 0 1 0 0 0
-30 0 5 0 0 0 1 0 0 0
-25 0 2 0 3 0 1 0 0 0
-60 0 4 0 12 0 1 0 0 0
-2 0 22 0 4 0 1 0 0 0
-4 0 2 0 2 0 1 0 0 0
-6 0 22 0 9 0 1 0 0 0
-12 0 8 0 15 0 1 0 0 0
-15 5 30 0 25 0 1 0 0 0
-24 0 2 100 3 0 1 0 0 0
-20 0 1 100 1 100 1 0 0 0
-3 0 30 0 0 0 1 0 0 0
-9 0 0 0 30 0 1 0 0 0
-45 0 40 3 6 0 1 0 0 0
-55 0 9 0 40 3 1 0 0 0
-18 0 45 0 25 6 1 0 0 0
-35 0 0 0 0 0 1 0 0 0
-28 0 60 0 50 0 1 0 0 0
-40 0 30 0 30 0 1 0 0 0
-10 0 40 0 12 0 1 0 0 0
-3 100 10 0 5 0 1 0 0 0
-120 0 60 0 0 0 1 0 0 0
+22 0 22 0 2 0 100 0 0 0
+30 0 5 0 0 0 100 0 0 0
+25 0 2 0 3 0 100 0 0 0
+60 0 4 0 12 0 100 0 0 0
+2 0 22 0 4 0 100 0 0 0
+4 0 2 0 2 0 100 0 0 0
+6 0 22 0 9 0 100 0 0 0
+12 0 8 0 15 0 100 0 0 0
+15 5 30 0 25 0 100 0 0 0
+24 0 2 100 3 0 100 0 0 0
+20 0 1 100 1 100 100 0 0 0
+3 0 30 0 0 0 100 0 0 0
+9 0 0 0 30 0 100 0 0 0
+45 0 40 3 6 0 100 0 0 0
+55 0 9 0 40 3 100 0 0 0
+18 0 45 0 25 6 100 0 0 0
+35 0 0 0 0 0 100 0 0 0
+28 0 60 0 50 0 100 0 0 0
+40 0 30 0 30 0 100 0 0 0
+10 0 40 0 12 0 100 0 0 0
+3 100 10 0 5 0 100 0 0 0
+120 0 60 0 0 0 100 0 0 0
+3 100 4 100 2 100 0 1 1 0
+2 100 3 100 6 100 0 1 1 0
+5 100 9 100 12 100 0 1 1 0
+1 100 2 100 1 100 0 1 1 0
+8 90 6 100 7 95 0 1 1 0
+60 0 12 0 30 0 10 0 0 1
+35 3 60 0 5 0 12 0 0 1
+14 0 2 0 60 5 8 0 0 1
+3 0 2 100 40 0 15 0 0 1
+60 0 12 0 30 0 10 1 1 1
+35 3 60 0 5 0 12 1 1 1
+3 0 60 0 1 0 20 1 1 1
+1 0 3 0 80 0 30 1 1 1
+45 0 30 0 20 0 40 1 1 1
+20 0 5 0 45 0 38 0 0 1
+2 100 1 100 2 100 10 0 0 0
+1 100 0 0 1 100 12 0 0 0
+60 0 12 0 30 0 70 0 0 0
+35 3 60 0 5 0 85 0 0 0
+14 0 2 0 60 5 92 0 0 0
+3 0 2 100 40 0 95 0 0 0
+60 0 12 0 30 0 75 1 1 0
+25 0 40 0 20 0 88 1 1 0
+3 0 60 0 1 0 97 1 1 0
+12 0 3 0 30 0 66 1 1 0
+30 0 20 0 40 0 64 0 1 0
+22 0 80 0 15 0 99 1 1 0
+90 0 40 0 30 0 80 0 0 0
 """
 
 
@@ -334,7 +404,7 @@ def decide(tree: tuple, features: tuple[float, ...]) -> bool:
 def features_of(blocks: list[Block]) -> list[tuple[float, ...]]:
     has = any(b.article for b in blocks)
     shape = [(0.0, 0.0), *((float(b.words), 100.0 * b.linked / b.words) for b in blocks), (0.0, 0.0)]
-    return [(*shape[i + 1], *shape[i], *shape[i + 2], float(b.other), float(b.article), float(has)) for i, b in enumerate(blocks)]
+    return [(*shape[i + 1], *shape[i], *shape[i + 2], b.other, float(b.article), float(has)) for i, b in enumerate(blocks)]
 
 
 def main_text(page: str | None, tree: tuple) -> str:
