@@ -20,7 +20,7 @@ their extents.
 4. Windows whose centres lie in no verified passage of their document choose another pivot among
    themselves, ``ROUNDS`` times in all.  This only makes the next step smaller.
 5. Links between documents are closed to components.  Outsiders are windows that are still unverified,
-   or that lie in another component than their key's first pivot.  They are compared with all windows of
+   or that lie in another component than most windows of their key.  They are compared with all windows of
    their key, in blocks of ``BLOCK``; only two verified windows of one component need not meet.  So no two
    windows of a key that hold a common passage stay unconnected, and no window with a partner unfound.
 6. Passages of several documents that end at the same place of a third, and go on with the same shingle
@@ -50,8 +50,8 @@ from palimpsest.llm.textkernel import Chunk, chunks, mix, shingle_hashes, words_
 FUNCTIONS, FURTHER, ROUNDS = 5, 2, 2
 #: Words a shingle, least words a passage, similarity in percent.
 SHINGLE, PASSAGE, PERCENT = 5, 50, 80
-#: Windows of a key that are compared at once, and shingles counted at once.
-BLOCK, COLUMNS = 512, 8192
+#: Windows of a key that are compared at once.
+BLOCK = 512
 #: Chained matches may skip so many shingles, and move so far off the diagonal.
 GAP = 12
 
@@ -325,50 +325,55 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, passage: int, percent:
 SPANS = "u long, v long, spans array<struct<a:int,a_end:int,b:int,b_end:int,before:bigint,after:bigint>>"
 
 
-def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Number of common shingles of each of x with each of y; no shingle occurs twice in one of them."""
-    flat = np.concatenate([*x, *y])
-    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
-    _, at, number = np.unique(flat, return_inverse=True, return_counts=True)
-    several = number > 1
-    row, at = row[several[at]], (np.cumsum(several) - 1)[at[several[at]]]
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    total = np.zeros((len(x), len(y)), np.float32)
-    for lo in range(0, int(several.sum()), COLUMNS):
-        i, j = np.searchsorted(at, (lo, lo + COLUMNS))
-        marks = np.zeros((len(x) + len(y), COLUMNS), np.float32)
-        marks[row[i:j], at[i:j] - lo] = 1
-        total += marks[: len(x)] @ marks[len(x) :].T
-    return total
+def _spanning(own: np.ndarray, marks: np.ndarray, first: int, least: int) -> np.ndarray:
+    """Which rows of marks have common shingles around place ``first`` of ``own`` that span ``least`` places.
+
+    ``marks`` tells for each row which shingle numbers it has.  From the centre on, either way, common
+    shingles go on as long as none is further than ``GAP`` from the one before.
+    """
+    hits = marks[:, own]
+    right = np.full(len(marks), first)
+    left = right.copy()
+    for j in range(first + 1, len(own)):
+        right[hits[:, j] & (j - right <= GAP)] = j
+    for j in range(first - 1, -1, -1):
+        left[hits[:, j] & (left - j <= GAP)] = j
+    return right - left + 1 >= least
 
 
 def _block_pairs(t: pa.Table, k: int, passage: int, percent: int) -> pa.Table:
-    """Verified passages between the outsiders of one block of a key and all windows of another."""
+    """Verified passages between the outsiders of one block of a key and all windows of another.
+
+    Windows of a key share their centres, so a passage around them is looked for from there.
+    """
     t = t.combine_chunks()
     least = passage - k + 1
-    doc, l, component = (t.column(x).to_numpy() for x in ("doc_id", "l", "component"))  # noqa: E741
+    doc, l, component, first, last = (t.column(x).to_numpy() for x in ("doc_id", "l", "component", "first", "last"))  # noqa: E741
     outsider, asks, settled = (t.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("outsider", "asks", "settled"))
-    shingles = _shingles(t.column("text").combine_chunks(), k)
-    sets = [np.unique(s) for s in shingles]
-    repeats = np.array([len(a) < len(b) for a, b in zip(sets, shingles, strict=True)])
     x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
     u, v, spans = [], [], []
     if len(x) and len(y):
-        common = _common([sets[i] for i in x], [sets[i] for i in y])
-        # a verified passage has so many common shingles at least, unless some of its own are equal
-        enough = (100 + percent) * common >= 2 * percent * least
-        enough |= (repeats[x][:, None] | repeats[y][None, :]) & (common > 0)
-        # two outsiders meet in both orders
-        enough &= np.where(outsider[y][None, :], doc[x][:, None] < doc[y][None, :], doc[x][:, None] != doc[y][None, :])
-        enough &= ~(settled[x][:, None] & settled[y][None, :] & (component[x][:, None] == component[y][None, :]))
-        for i, j in np.argwhere(enough).tolist():
-            a, b = sorted((x[i], y[j]), key=lambda r: doc[r])
-            got = _chains(shingles[a], shingles[b], least, percent)
-            if got:
-                u.append(doc[a])
-                v.append(doc[b])
-                spans.append([dict(zip(_FIELDS, (l[a] + p, l[a] + q + k, l[b] + s, l[b] + e + k, *_beside(shingles[b], s, e)), strict=True)) for p, q, s, e in got])
+        shingles = _shingles(t.column("text").combine_chunks(), k)
+        known = np.unique(np.concatenate([shingles[i] for i in x]))
+        numbers = {i: np.searchsorted(known, shingles[i]) for i in x.tolist()}
+        marks = np.zeros((len(y), len(known)), bool)
+        for row, j in enumerate(y.tolist()):
+            at = np.minimum(np.searchsorted(known, shingles[j]), len(known) - 1)
+            marks[row, at[known[at] == shingles[j]]] = True
+        for i in x.tolist():
+            # two outsiders meet in both orders
+            fits = np.where(outsider[y], doc[i] < doc[y], doc[i] != doc[y]) & ~(settled[i] & settled[y] & (component[i] == component[y]))
+            rows = np.flatnonzero(fits)
+            if first[i] == last[i]:  # else the key's places in this window are several
+                one = first[y[rows]] == last[y[rows]]
+                rows = rows[~one | _spanning(numbers[i], marks[rows], int(first[i] - l[i]), least)]
+            for j in y[rows].tolist():
+                a, b = (i, j) if doc[i] < doc[j] else (j, i)
+                got = _chains(shingles[a], shingles[b], least, percent)
+                if got:
+                    u.append(doc[a])
+                    v.append(doc[b])
+                    spans.append([dict(zip(_FIELDS, (l[a] + p, l[a] + q + k, l[b] + s, l[b] + e + k, *_beside(shingles[b], s, e)), strict=True)) for p, q, s, e in got])
     return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(spans, _SPAN)], names=["u", "v", "spans"])
 
 
@@ -413,33 +418,40 @@ def _open(members: DataFrame, loose: DataFrame, component: DataFrame) -> DataFra
     """key, doc_id, cc, lr, component, settled, outsider: all windows but the first pivot of each key that has outsiders.
 
     Outsiders are the windows in ``loose``, which are not settled, and those of another component than
-    the pivot's.
+    most windows of the key.  The first pivot has met all windows.
     """
     pivot = (F.col("doc_id") == F.col("rep")) & (F.col("lr") == F.col("rep_lr"))
     flagged = members.join(loose.select("key", "doc_id", "cc", F.lit(False).alias("settled")).distinct(), ["key", "doc_id", "cc"], "left").fillna(True, "settled")
     placed = flagged.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = cut(placed.withColumn("pivot", pivot).select("key", "doc_id", "cc", "lr", "component", "settled", "pivot"))
-    keys = placed.groupBy("key").agg(
-        F.max(F.when(F.col("pivot"), F.col("component"))).alias("main"), F.count_if(~F.col("pivot")).alias("n"),
-        F.min("settled").alias("done"), F.min("component").alias("low"), F.max("component").alias("high"),
-    )
-    keys = cut(keys.filter("n > 1 and (not done or low < high)").select("key", "main"))
+    shares = placed.filter("not pivot").groupBy("key", "component").agg(F.count("*").alias("n"), F.count_if(~F.col("settled")).alias("loose"))
+    keys = shares.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("loose").alias("loose"), F.count("*").alias("parts"))
+    keys = cut(keys.filter("n > 1 and (loose > 0 or parts > 1)").select("key", "main"))
     marked = placed.filter("not pivot").join(keys, "key").withColumn("outsider", ~F.col("settled") | (F.col("component") != F.col("main"))).drop("pivot", "main")
     some = marked.filter("outsider").select("key").distinct()
     return cut(marked.join(some, "key", "left_semi"))
 
 
-def _with_text(windows: DataFrame, slices: DataFrame, k: int, keep: str) -> DataFrame:
-    """The columns named in ``keep`` (l among them) and the text of each window."""
+def _with_text(windows: DataFrame, slices: DataFrame, k: int, passage: int, keep: str) -> DataFrame:
+    """The columns named in ``keep`` (l among them) and the text of each window, two passages either way of its centres at most.
+
+    What goes on beyond is found from the centres there.
+    """
     names = tuple(x.split()[0] for x in keep.split(", "))
-    placed = windows.withColumns({"l": _high("lr"), "r": _low("lr")}).join(slices.withColumnRenamed("lo", "o"), "doc_id")
+    around = 2 * (passage - k + 1)
+    l, r = F.greatest(_high("lr"), F.col("first") - around), F.least(_low("lr"), F.col("last") + around)  # noqa: E741
+    placed = windows.withColumns({"first": _high("cc"), "last": _low("cc")}).withColumns({"l": l, "r": r}).join(slices.withColumnRenamed("lo", "o"), "doc_id")
     placed = placed.select(*names, (F.col("l") - F.col("o")).alias("lo"), (F.col("r") - F.col("o")).alias("hi"), "text")
     return map_arrow(placed, lambda it: _slices(it, k, names), f"{keep}, text string")
 
 
 def _compared(opened: DataFrame, slices: DataFrame, k: int, passage: int, percent: int) -> DataFrame:
     """Verified passages between each key's outsiders and all its windows, dealt in pairs of blocks."""
-    rows = cut(_with_text(opened, slices, k, "key long, doc_id long, l int, component long, settled boolean, outsider boolean"))
+    rows = cut(_with_text(opened, slices, k, passage, "key long, doc_id long, l int, first int, last int, component long, settled boolean, outsider boolean"))
+    # verified windows of one component and equal text: the first stands for all
+    same = rows.filter("settled").groupBy("key", "component", "outsider", "text").agg(F.min(F.struct("doc_id", "l", "first", "last")).alias("m"))
+    same = same.select("key", "m.*", "component", F.lit(True).alias("settled"), "outsider", "text")
+    rows = cut(rows.filter("not settled").unionByName(same))
     sized = rows.groupBy("key").agg(F.count_if("outsider").alias("n_out"), F.count("*").alias("n"))
     nu, nv = F.ceil(F.col("n_out") / BLOCK).cast("int").alias("nu"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nv")
     dealt = rows.join(sized.select("key", nu, nv), "key")
