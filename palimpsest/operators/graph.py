@@ -15,16 +15,14 @@ refs: name, commit_id
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.shared import settle, written
+
 COMMITS = "commit_id long, hash string, ts long, message string, state_base long, lane long, pos long"
 EDGES = "child long, parent long, ordinal int"
 OPS = "commit_id long, lane long, pos long, op_seq int, key string, value string"
@@ -47,10 +45,10 @@ class Graph:
     head: str
 
     def settled(self) -> Graph:
-        """The same graph with its tables written once, side by side, for several passes over them."""
-        tables = (self.commits, self.edges, self.ops, self.lanes, self.cross, self.refs)
-        with ThreadPoolExecutor(len(tables)) as pool:
-            return Graph(self.spark, *pool.map(settle, tables), self.head)
+        """The same graph with its tables computed once, side by side, for several passes over them."""
+        steps = ((written, self.commits), (written, self.edges), (written, self.ops), (settle, self.lanes), (settle, self.cross), (settle, self.refs))
+        with ThreadPoolExecutor(len(steps)) as pool:
+            return Graph(self.spark, *pool.map(lambda step: step[0](step[1]), steps), self.head)
 
     def tips(self) -> DataFrame:
         """commit_id, lane, pos of every branch's tip."""
@@ -67,40 +65,3 @@ def cross_edges(edges: DataFrame, commits: DataFrame) -> DataFrame:
     both = edges.join(place("child", "c"), "child").join(place("parent", "p"), "parent")
     inside = (F.col("c_lane") == F.col("p_lane")) & (F.col("c_pos") == F.col("p_pos") + 1) & (F.col("ordinal") == 0)
     return both.filter(~inside).select("c_lane", "c_pos", "p_lane", "p_pos", "ordinal")
-
-
-_written: dict[str, SparkSession] = {}
-
-
-def _folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share for intermediate tables."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
-    return str(spark.sparkContext.getCheckpointDir())
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the folder of ``spark.checkpoint.dir`` and read back.
-
-    The lineage ends there, and a lost executor costs no more than its own tasks.
-    """
-    spark = df.sparkSession
-    path = f"{_folder(spark)}/palimpsest/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clear() -> None:
-    """Deletes the tables that ``settle`` wrote."""
-    for path, spark in _written.items():
-        with contextlib.suppress(Exception):
-            sc = spark.sparkContext
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-    _written.clear()

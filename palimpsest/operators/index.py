@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.graph import Graph
-from palimpsest.operators.state import column_of, commit_states
+from palimpsest.operators.state import column_of, commit_states, state_at
 from palimpsest.sources.schema import Registry
 
 #: Between the fields of a primary key.
@@ -38,6 +38,15 @@ def entries(graph: Graph, registry: Registry) -> DataFrame:
 
 
 def lookup(graph: Graph, registry: Registry, commit_id: int, index_name: str, key: str) -> DataFrame:
-    """pk of the document that has a value in an index of a commit."""
-    found = entries(graph, registry).filter((F.col("commit_id") == commit_id) & (F.col("index_name") == index_name) & (F.col("key") == key))
-    return found.select("pk")
+    """pk of the document that has a value in an index of a commit; reads that commit's state only."""
+    found = [(c, i) for c, i in registry.indexes() if i.name == index_name]
+    empty = graph.spark.createDataFrame([], "pk string")
+    if not found:
+        return empty
+    collection, index = found[0]
+    fields = [path for path, _ in collection.keys]
+    held = state_at(graph, commit_id, sorted({index.path, *fields}))
+    value = lambda path: F.max(F.when(F.col("key") == path, F.col("value")))
+    row = held.groupBy().agg(value(index.path).alias("at"), *(value(f).alias(f"f{i}") for i, f in enumerate(fields)))
+    whole = reduce(lambda a, b: a & b, (F.col(f"f{i}").isNotNull() for i in range(len(fields))), F.col("at") == key)
+    return row.filter(whole).select(F.concat_ws(SEPARATOR, *(f"f{i}" for i in range(len(fields)))).alias("pk"))

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.graph import Graph, settle
+from palimpsest.operators.graph import Graph
 from palimpsest.operators.reach import reach
+from palimpsest.shared import settle
 
 
 def ancestor_distances(graph: Graph, commit_id: int) -> DataFrame:

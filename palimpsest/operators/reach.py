@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.graph import Graph, settle
+from palimpsest.operators.graph import Graph
+from palimpsest.shared import settle
 
 
 def reach(graph: Graph, seeds: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.graph import Graph, settle
+from palimpsest.operators.graph import Graph
+from palimpsest.shared import settle
 
 #: Bound of walks whose pattern leaves it open.
 OPEN_BOUND = 64
@@ -27,9 +28,14 @@ def _stretches(cross: DataFrame, sources: DataFrame, most: int, down: bool) -> D
     at = settle(sources.select("src", "lane", "pos", F.lit(0).cast("long").alias("depth")).distinct())
     found = [at]
     steps = cross.select(F.col(f"{came}_lane").alias("lane"), F.col(f"{came}_pos").alias("leave"), F.col(f"{went}_lane").alias("to_lane"), F.col(f"{went}_pos").alias("to_pos"))
+    steps = steps.withColumn("bucket", F.floor(F.col("leave") / BUCKET))
     while True:
         along = F.col("pos") - F.col("leave") if down else F.col("leave") - F.col("pos")
-        moved = at.join(steps, "lane").withColumn("along", along).filter(F.col("along") >= 0).withColumn("depth", F.col("depth") + F.col("along") + 1)
+        # only the edges that leave within reach: a lane with many edges does not join as a whole
+        far = F.lit(most) - F.col("depth")
+        low, high = (F.greatest(F.col("pos") - far, F.lit(0)), F.col("pos")) if down else (F.col("pos"), F.col("pos") + far)
+        near = at.withColumn("bucket", F.explode(F.sequence(F.floor(low / BUCKET), F.floor(high / BUCKET))))
+        moved = near.join(steps, ["lane", "bucket"]).withColumn("along", along).filter(F.col("along") >= 0).withColumn("depth", F.col("depth") + F.col("along") + 1)
         moved = moved.filter(F.col("depth") <= most).select("src", F.col("to_lane").alias("lane"), F.col("to_pos").alias("pos"), "depth").distinct()
         every = reduce(DataFrame.unionByName, found)
         at = settle(moved.join(every, ["src", "lane", "pos", "depth"], "left_anti"))

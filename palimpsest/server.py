@@ -1,8 +1,8 @@
 """A socket service: frames of a big-endian 32-bit length and a JSON object.
 
 Requests have id, method and params; answers id, ok, and result or error.  Methods: hello; query with
-``sql``; refs; get with ``hash``.  One request runs at a time.  A frame that is empty, too large or no
-JSON object ends its connection.
+``sql``; refs; get with ``hash``.  One request runs at a time; its intermediate tables go when it is
+answered.  A frame that is empty, too large or no JSON object ends its connection.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from typing import Any
 
 from palimpsest.engine import Engine, QueryResult
 from palimpsest.errors import PalimpsestError
+from palimpsest.shared import scope
 from palimpsest.sources.repository import Repository
 
 MAX_FRAME = 16 * 1024 * 1024
@@ -55,7 +56,7 @@ class Server(socketserver.ThreadingTCPServer):
     def answer(self, number: Any, method: str, params: dict[str, Any]) -> dict[str, Any]:
         """The answer to one request."""
         try:
-            with self._lock:
+            with self._lock, scope():
                 return {"id": number, "ok": True, "result": self._result(method, params)}
         except (PalimpsestError, ValueError) as e:
             return {"id": number, "ok": False, "error": str(e)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -40,13 +41,25 @@ class Files:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        system, path = self._at(name)
-        _, beside = self._at(f"{name}.new")
+        _, path = self._at(name)
+        system, beside = self._at(f"{name}.{uuid.uuid4().hex}.new")
         stream = system.create(beside, True)
         try:
             stream.write(bytearray(text, "utf-8"))
         finally:
             stream.close()
-        system.delete(path, False)
-        if not system.rename(beside, path):
-            raise OSError(f"could not replace {self.root}/{name}")
+        self._replace(beside, path)
+
+    def _replace(self, old: Any, new: Any) -> None:
+        """Renames in one step: a reader finds the file before or the file after."""
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs  # type: ignore[union-attr]
+        option = getattr(hadoop, "Options$Rename")
+        options = sc._gateway.new_array(option, 1)  # type: ignore[union-attr]
+        options[0] = option.OVERWRITE
+        context = hadoop.FileContext.getFileContext(new.toUri(), sc._jsc.hadoopConfiguration())
+        context.rename(context.makeQualified(old), context.makeQualified(new), options)
+
+    def delete_folder(self, name: str) -> None:
+        system, path = self._at(name)
+        system.delete(path, True)
