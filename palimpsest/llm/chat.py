@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 CHUNK = 256
 SYSTEM = "system"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: What begins a mark, and what stands for it where a text or name has it: no text can forge a turn.
+MARK, ESCAPED = "<|im_", "<| im_"
 
 
 def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", system: str = SYSTEM) -> DataFrame:
@@ -25,20 +27,22 @@ def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     repeated rows stay.  role is assistant, user or system; name the speaker of a user's turn.
     segment is the rendered turn, start its place in the rendering; characters of the rendering from
     mask_start up to mask_end are trained on (both null for others' turns).  Places count code points.
+    Marks inside texts and names are written with a blank, line breaks in names as one.
     A null text is empty; a null speaker is a participant named "unknown"; a null conversation is a
     conversation of its own.  A conversation without participants, of system turns alone, has no
     rendering.  Other columns take no part; an empty table gives an empty result.
     """
     rows = turns.select(
         F.col(f"`{conversation}`").alias("conv_id"), F.col(f"`{turn}`").cast("long").alias("turn"),
-        F.coalesce(F.col(f"`{speaker}`"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
+        F.coalesce(F.col(f"`{speaker}`"), F.lit("unknown")).alias("speaker"), F.replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(MARK), F.lit(ESCAPED)).alias("text"),
     )
     participants = rows.filter(F.col("speaker") != system).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     seen = rows.join(participants, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     own = F.col("speaker") == F.col("perspective")
     seen = seen.withColumn("role", F.when(F.col("speaker") == system, F.lit("system")).when(own, F.lit("assistant")).otherwise(F.lit("user")))
     seen = seen.withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
-    head = F.concat(F.lit(OPEN), "role", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n"))
+    shown = F.replace(F.replace("name", F.lit(MARK), F.lit(ESCAPED)), F.lit("\n"), F.lit(" "))
+    head = F.concat(F.lit(OPEN), "role", F.coalesce(F.concat(F.lit(" name="), shown), F.lit("")), F.lit("\n"))
     seen = seen.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, "text", F.lit(CLOSE)))
     seen = seen.withColumn("n", F.length("segment").cast("long")).withColumn("chunk", F.floor(F.col("turn") / CHUNK))
     group = ["conv_id", "perspective", "chunk"]
@@ -60,7 +64,7 @@ def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn",
 #: The result of ``rotate`` over conversations, for DuckDB.
 SQL = """
 WITH r AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations
 ), p AS (
   SELECT DISTINCT conv_id AS c, speaker AS perspective FROM r WHERE speaker <> 'system'
 ), s AS (
@@ -69,7 +73,7 @@ WITH r AS (
   FROM r JOIN p ON conv_id IS NOT DISTINCT FROM c
 ), h AS (
   SELECT *, CASE WHEN role = 'user' THEN speaker END AS name,
-    '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM s
+    '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || replace(replace(speaker, '<|im_', '<| im_'), chr(10), ' ') ELSE '' END || chr(10) AS head FROM s
 ), g AS (
   SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h
 ), o AS (

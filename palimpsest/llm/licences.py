@@ -152,6 +152,24 @@ NOTICES = {
     "ISC": ("Released under the ISC License.", "SPDX-License-Identifier: ISC"),
 }
 
+# Digests of the canonical form of long licences' whole texts, as published, by SPDX name of the text.
+DIGESTS = {
+    "0d5838e6f6e5a374e58d608af5c01bc6a67cf18552dd7b346e5aef652b808ee9": "Apache-2.0",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f": "GFDL-1.2",
+    "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4": "GFDL-1.3",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1": "GPL-2.0",
+    "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f": "GPL-3.0",
+    "e2c319279ddf282349927826fd110bdb5b471edc3a726a66fe333c8184a4b135": "LGPL-2.0",
+    "13cd11e9ccd3aae212d64d9b0f62b3a67f21019c6a65212e582b2cbbeb91cb70": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6": "MPL-1.1",
+    "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56": "MPL-2.0",
+    "de5e8896b763918701eb91e7bf8bf81f20a97c9f8dd1cacc44519e47d3462bf8": "Artistic-1.0",
+    "0933e9fdf25f8a4aced10e10246650350123e13b939182f69b5ec6730ce2d793": "Apache-2.0",  # up to the appendix
+}
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Both are read alike by Java, RE2 and Python (the latter by way of _python).
 COPYRIGHT = r"(^|\n)[ \t#*/;>-]*(copyright |\(c\) |\x{A9} ?|portions copyright |all rights reserved)[^\n]*"
@@ -177,7 +195,8 @@ def _digest(lines: str) -> str:
 
 def known_texts() -> dict[str, str]:
     """Digest of each known whole text, with and without a title, to its identifier."""
-    return {_digest(canonical_lines(f"{title}\n\n{body}")): name for name, body in TEXTS.items() for title in TITLES[name]}
+    short = {_digest(canonical_lines(f"{title}\n\n{body}")): name for name, body in TEXTS.items() for title in TITLES[name]}
+    return DIGESTS | short
 
 
 def known_notices() -> dict[str, str]:

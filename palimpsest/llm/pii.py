@@ -2,8 +2,8 @@
 
 Base kinds (email, ip, card, phone) are always reported once their validator accepts them; the
 context only moves their score.  The further kinds (iban, ssn, and phone numbers without a leading
-plus) are reported when their score reaches ``MIN_SCORE``: an IBAN by its mod-97 check digits, the
-others only beside words that speak of them.
+plus) are reported when their score reaches ``MIN_SCORE``: an IBAN by its mod-97 check digits unless
+words nearby speak of something else, the others only beside words that speak of them.
 
 A batch is first searched for digits and ``@`` on its bytes; only documents that hold one are decoded.
 The patterns are written so that a scan takes linear time: a run of characters that failed is never
@@ -40,7 +40,7 @@ RAISE = {
 }
 LOWER = ("version", "isbn", "order", "invoice", "serial", "example", "release", "chapter")
 #: Score of a validated span without context.
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "local_phone": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "local_phone": 0.3}
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(?:@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?+")
 _IP = re.compile(r"[0-9]++(?:(?:\.[0-9]++){3})?+")
@@ -192,12 +192,13 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts and digests of ``find``'s spans: n_<kind> and base_sha256 of the base kinds, all spans as text."""
+    """Counts and digests of ``find``'s spans: n_<kind> and base_sha256 of the base kinds, all spans and their scores as text."""
     base = F.filter("spans", lambda s: s["base"])
     written = lambda a: F.concat_ws(",", F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
     counts = {f"n_{k}": number(k) for k in BASE_KINDS}
-    return found.select("doc_id", *(v.alias(k) for k, v in counts.items()), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores")
+    return found.select("doc_id", *(v.alias(k) for k, v in counts.items()), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), scores)
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, chat, html_text, licences, minhash, mixing, packing, pii, quality, substring
+from palimpsest.llm import ann, chat, html_text, licences, minhash, mixing, packing, pii, quality, scratch, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.sampled(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")), F.col("words"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
+    mixed = mixing.sampled(scratch.cut(docs), F.col("words"))  # texts are read once
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 

@@ -1,17 +1,10 @@
-"""Shared files: intermediate tables for all executors, and this package for their Python workers.
-
-Intermediate tables go to the folder named by ``spark.checkpoint.dir``.  A table written there cuts
-the lineage: a lost executor costs only the tasks it ran.  The setting is read from the session; only
-a local session without one, as in tests, gets a temporary folder.
-"""
+"""Intermediate tables of the corpus operators, and this package for their Python workers."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -19,7 +12,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_written: dict[str, SparkSession] = {}
+from palimpsest import shared
+
 _shipped: set[str] = set()
 #: Rows that go to a Python worker at once, where the session leaves Spark's default: whole texts are long.
 ROWS_AT_ONCE, SPARK_DEFAULT = "1000", "10000"
@@ -28,7 +22,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
-    """Once per application, gives the executors' Python workers the modules of this subpackage."""
+    """Once per application, gives the executors' Python workers the modules of this subpackage.
+
+    Where the session leaves Spark's default number of rows that go to a worker at once, it is lowered:
+    the operators' results are computed after they return, so this holds for the whole session.
+    """
     if spark.conf.get(_BATCH, SPARK_DEFAULT) == SPARK_DEFAULT:
         spark.conf.set(_BATCH, ROWS_AT_ONCE)
     sc = spark.sparkContext
@@ -37,7 +35,7 @@ def ship(spark: SparkSession) -> None:
     top = Path(__file__).resolve().parents[1]
     target = os.path.join(tempfile.mkdtemp(prefix="palimpsest-"), "palimpsest_workers.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for path in [top / "__init__.py", *sorted((top / "llm").glob("*.py"))]:
+        for path in [top / "__init__.py", top / "shared.py", *sorted((top / "llm").glob("*.py"))]:
             z.write(path, path.relative_to(top.parent))
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
@@ -49,17 +47,6 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
-    return str(spark.sparkContext.getCheckpointDir())
-
-
 @contextlib.contextmanager
 def _files_of_one_write(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the writes inside go when each ends: nothing reads their plans again."""
@@ -73,31 +60,10 @@ def _files_of_one_write(spark: SparkSession) -> Iterator[None]:
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once and read back; disk holds one step's shuffle files and not those of all."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/palimpsest/{uuid.uuid4().hex}"
-    with _files_of_one_write(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    with _files_of_one_write(df.sparkSession):
+        return shared.written(df, compression="zstd")
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes intermediate tables that nothing reads any more."""
-    names = {x.split("/")[-2] for table in tables for x in table.inputFiles()}
-    for path in [x for x in _written if x.split("/")[-1] in names]:
-        _delete(path)
-
-
-def _delete(path: str) -> None:
-    spark = _written.pop(path)
-    with contextlib.suppress(Exception):
-        sc = spark.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def clear() -> None:
-    """Deletes the tables written so far; frames that still read them fail afterwards."""
-    for path in list(_written):
-        _delete(path)
+    shared.release(*tables)

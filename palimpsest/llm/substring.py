@@ -325,20 +325,19 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, passage: int, percent:
 SPANS = "u long, v long, spans array<struct<a:int,a_end:int,b:int,b_end:int,before:bigint,after:bigint>>"
 
 
-def _spanning(own: np.ndarray, marks: np.ndarray, first: int, least: int) -> np.ndarray:
-    """Which rows of marks have common shingles around place ``first`` of ``own`` that span ``least`` places.
+def _dense(own: np.ndarray, marks: np.ndarray, centre: int, least: int, percent: int) -> np.ndarray:
+    """Which rows of marks have so many of the shingles of a stretch of ``own`` around its centre, as similarity asks.
 
-    ``marks`` tells for each row which shingle numbers it has.  From the centre on, either way, common
-    shingles go on as long as none is further than ``GAP`` from the one before.
+    ``marks`` tells for each row which shingle numbers it has.  A passage of that similarity has that
+    share of either side's shingles in common, so none is left out; the stretch has ``least`` places or more.
     """
-    hits = marks[:, own]
-    right = np.full(len(marks), first)
-    left = right.copy()
-    for j in range(first + 1, len(own)):
-        right[hits[:, j] & (j - right <= GAP)] = j
-    for j in range(first - 1, -1, -1):
-        left[hits[:, j] & (left - j <= GAP)] = j
-    return right - left + 1 >= least
+    over = np.zeros((len(marks), len(own) + 1))
+    np.cumsum(100.0 * marks[:, own] - percent, axis=1, out=over[:, 1:])
+    best = np.maximum.accumulate(over[:, :0:-1], axis=1)[:, ::-1]  # the most that any end from a place on has
+    begin = np.arange(min(centre, len(own) - least) + 1)
+    if not len(begin):
+        return np.zeros(len(marks), bool)
+    return (best[:, np.maximum(centre, begin + least - 1)] >= over[:, begin]).any(axis=1)
 
 
 def _block_pairs(t: pa.Table, k: int, passage: int, percent: int) -> pa.Table:
@@ -364,9 +363,9 @@ def _block_pairs(t: pa.Table, k: int, passage: int, percent: int) -> pa.Table:
             # two outsiders meet in both orders
             fits = np.where(outsider[y], doc[i] < doc[y], doc[i] != doc[y]) & ~(settled[i] & settled[y] & (component[i] == component[y]))
             rows = np.flatnonzero(fits)
-            if first[i] == last[i]:  # else the key's places in this window are several
-                one = first[y[rows]] == last[y[rows]]
-                rows = rows[~one | _spanning(numbers[i], marks[rows], int(first[i] - l[i]), least)]
+            # else the key's places in this window are several, or its shingles are
+            if first[i] == last[i] and len(np.unique(numbers[i])) == len(numbers[i]):
+                rows = rows[(first[y[rows]] != last[y[rows]]) | _dense(numbers[i], marks[rows], int(first[i] - l[i]), least, percent)]
             for j in y[rows].tolist():
                 a, b = (i, j) if doc[i] < doc[j] else (j, i)
                 got = _chains(shingles[a], shingles[b], least, percent)

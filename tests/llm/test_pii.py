@@ -62,3 +62,28 @@ def test_ibans_before_upper_case_words():
             assert spans(f"pay {code}{after}")[0] == code
     assert spans("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32") == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
     assert spans("DE89370400440532013001 EUR 500") == []
+
+
+# Labelled texts: what is to be found beyond the base kinds, if anything.
+LABELLED = [
+    ("please pay to IBAN DE89 3704 0044 0532 0130 00 by Friday", "iban"), ("DE89370400440532013000", "iban"), ("our bank account: GB82 WEST 1234 5698 7654 32", "iban"),
+    ("serial DE89370400440532013000 of release 4", None), ("invoice with IBAN DE89370400440532013000", "iban"), ("DE88370400440532013000", None),
+    ("her social security number is 536-22-1234", "ssn"), ("SSN: 536-22-1234", "ssn"), ("order 536-22-1234 has shipped", None), ("score 536-22-1234", None), ("ssn of the example: 536-22-1234", None),
+    ("call me at 030 1234 567", "phone"), ("Tel. (0171) 234 5678", "phone"), ("fax 040/123 4567", "phone"), ("invoice 030 1234 567", None), ("lot 0301 234567 in row 4", None), ("mobile 0171-2345678 after six", "phone"),
+]
+
+
+def test_context_decides_on_labelled_texts():
+    for text, kind in LABELLED:
+        assert [x[0] for x in pii.find_spans(text) if not x[4]] == ([kind] if kind else []), text
+
+
+def test_scores_follow_the_context():
+    score = lambda t: pii.find_spans(t)[0][3]
+    assert score("server address 10.1.2.3") > score("10.1.2.3") > score("version 10.1.2.3")
+    assert score("visa 4111 1111 1111 1111") > score("4111 1111 1111 1111") > score("isbn 4111 1111 1111 1111")
+
+
+def test_query_gives_the_scores(spark):
+    docs = spark.createDataFrame([(1, "visa 4111 1111 1111 1111 from 10.1.2.3"), (2, None)], "doc_id long, text string")
+    assert [(x.spans, x.scores) for x in pii.digest(pii.find(docs)).orderBy("doc_id").collect()] == [("card:5:24,ip:30:38", "1.00,0.70"), ("", "")]
