@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest import shared
+from palimpsest.engine import Engine, QueryResult
 from palimpsest.language.parser import parse
 from palimpsest.language.syntax import Query, Target
 from palimpsest.operators import index, paths, reach, state, walks
 from palimpsest.operators.graph import Graph
 from palimpsest.plans.compiler import compile_query, resolve, resolve_hash
 from palimpsest.sources import ingest, schema
+from palimpsest.sources.repository import Repository
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -228,3 +231,95 @@ def merge_base_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ingest.merged_events(spark, sf_dir).settled()
     merge = resolve_hash(g, spark.range(1).select(F.sha2(F.lit("merge|3"), 256)).first()[0])
     return paths.merge_base(g, merge, _tip(g, "u8")).select("hash")
+
+
+# statements on a repository of their own; the tables they read have a fixed number of rows
+
+
+def _fresh(spark: SparkSession) -> Repository:
+    return Repository.init(spark, shared.temporary(spark))
+
+
+def _asked(repo: Repository, source: str) -> DataFrame:
+    result = Engine(repo).execute_one(source)
+    assert isinstance(result, QueryResult)
+    return result.df
+
+
+def _tips(repo: Repository) -> DataFrame:
+    """branch, key, value of every branch's state."""
+    g = repo.graph()
+    found = state.states(g, g.tips().withColumnRenamed("commit_id", "id"))
+    return g.refs.join(found.select("id", "key", "value"), F.col("commit_id") == F.col("id")).select(F.col("name").alias("branch"), "key", "value")
+
+
+@register("commit_regions", "SELECT r_name AS name, r_regionkey::VARCHAR AS number, 'region ' || r_regionkey AS message FROM region UNION ALL SELECT NULL, NULL, 'genesis'")
+def commit_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = _fresh(spark)
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()
+    # a commit with all keys new; then one that keeps the key of the one before unless it is put again
+    Engine(repo).execute("; ".join(f'COMMIT {{name: "{r.r_name}", number: {r.r_regionkey}}} MESSAGE "region {r.r_regionkey}"' for r in regions))
+    return _asked(repo, "MATCH (c) SELECT c.name AS name, c.number AS number, c.message AS message")
+
+
+@register("commit_nested", "SELECT * FROM (VALUES ('a', '1'), ('deep.flag', 'true'), ('deep.lower.text', 'x'), ('pi', '3.5')) AS t(key, value)")
+def commit_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = _fresh(spark)
+    Engine(repo).execute('COMMIT {pi: 3.50, a: 1, deep: {flag: true, lower: {text: "x"}}}')
+    return state.state_at(repo.graph(), repo.head()[1].commit_id).select("key", "value")
+
+
+@register("branch_states", "SELECT * FROM (VALUES ('main', 'x', '1'), ('main', 'y', 'm'), ('side', 'x', '2'), ('side', 'z', 's')) AS t(branch, key, value)")
+def branch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = _fresh(spark)
+    Engine(repo).execute(
+        'COMMIT {x: 1} MESSAGE "both"; CREATE BRANCH side; CREATE BRANCH gone; DELETE BRANCH gone; CHECKOUT BRANCH side; COMMIT {x: 2, z: "s"} MESSAGE "s"; CHECKOUT BRANCH main; COMMIT {y: "m"} MESSAGE "m"'
+    )
+    return _tips(repo)
+
+
+@register("merge_fast_forward", "SELECT * FROM (VALUES ('genesis'), ('one'), ('two')) AS t(message)")
+def merge_fast_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = _fresh(spark)
+    Engine(repo).execute(
+        'CREATE BRANCH ahead; CHECKOUT BRANCH ahead; COMMIT {k: "v"} MESSAGE "one"; COMMIT {k: "w"} MESSAGE "two"; CHECKOUT BRANCH main; MERGE BRANCH ahead INTO BRANCH main STRATEGY FAST_FORWARD'
+    )
+    return _asked(repo, "TRAVERSE ANCESTORS(BRANCH main) SELECT message")
+
+
+@register("commit_base_apart", "SELECT * FROM (VALUES ('far', 'a', '1'), ('far', 'b', '3'), ('main', 'a', '1'), ('main', 'b', '2')) AS t(branch, key, value)")
+def commit_base_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = _fresh(spark)
+    repo.set_flush_every(10)
+    root = repo.head()[1]
+    first = repo.commit([root], root, {"a": "1"}, "first")
+    repo.update_branch("main", repo.commit([first], first, {"b": "2"}, "second"))
+    # its parent is the newest commit, its state that of the first
+    repo.create_branch("far", repo.commit([repo.head()[1]], first, {"b": "3"}, "state of another"))
+    return _tips(repo)
+
+
+@register("equal_commits", "SELECT 2::BIGINT AS commits, 1::BIGINT AS of_one_hash")
+def equal_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = _fresh(spark)
+    root = repo.head()[1]
+    for _ in range(3):
+        made = repo.commit([root], root, {"a": "1"}, "same", timestamp=7)
+    return repo.graph().commits.agg(F.count("*").alias("commits"), F.count_if(F.col("hash") == made.hash).alias("of_one_hash"))
+
+
+@register("schema_indexes", "SELECT * FROM (VALUES ('items.by_meta_prefs_theme', 'meta.prefs.theme', 'dark', 'item-1')) AS t(index_name, path, key, pk)")
+def schema_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = _fresh(spark)
+    repo.files.write("migrations/001.eql", "CREATE COLLECTION items KEY id STRING; CREATE INDEX ON items (id);")
+    repo.files.write("migrations/002.eql", 'CREATE INDEX ON items PATH "meta.prefs.theme" TYPE STRING; DROP INDEX ON items (id);')
+    repo.migrate()
+    Engine(repo).execute('COMMIT {id: "item-1", meta: {prefs: {theme: "dark"}}}')
+    paths = spark.createDataFrame([(i.name, i.path) for _, i in repo.schema().indexes()], "index_name string, path string")
+    return index.entries(repo.graph(), repo.schema()).join(paths, "index_name").select("index_name", "path", "key", "pk")
+
+
+@register("linear_replay", EVENTS + "SELECT key, value FROM (" + _LAST.format(who="t.name = 'u3'") + ")")
+def linear_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = ingest.events(spark, sf_dir)
+    return state.replay(walks.history(g, _tip(g, "u3"), 1 << 30), g.ops)

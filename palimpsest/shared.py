@@ -33,13 +33,18 @@ def folder(spark: SparkSession) -> str:
     return str(spark.sparkContext.getCheckpointDir())
 
 
+def temporary(spark: SparkSession) -> str:
+    """A path in the shared folder that is deleted with the intermediate tables."""
+    path = f"{folder(spark)}/palimpsest/{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def written(df: DataFrame, **options: str) -> DataFrame:
     """The same rows, written once to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/palimpsest/{uuid.uuid4().hex}"
+    path = temporary(df.sparkSession)
     df.write.options(**options).parquet(path)
-    _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame) -> DataFrame:
