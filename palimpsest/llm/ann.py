@@ -160,17 +160,21 @@ class Search:
     def _scan(self, rows: np.ndarray, who: np.ndarray) -> None:
         for at in range(0, len(who), 1024):
             part = who[at : at + 1024]
-            # a fast product leaves out queries with nothing better here; the order is that of the exact scores
+            # a fast product leaves out pairs that can't be among the best; the order is that of the exact scores
             bound = self.queries[part] @ self.flat[rows].T + SLACK * self.norms[part][:, None] * self.lengths[rows][None, :]
-            part = part[(bound >= self._limit(part)[:, None]).any(axis=1)]
+            near = bound >= self._limit(part)[:, None]
+            some = near.any(axis=1)
+            part, near = part[some], near[some]
             if not len(part):
                 continue
-            score = np.zeros((len(part), len(rows)))
+            who_at, row_at = np.nonzero(near)
+            exact = np.zeros(len(who_at))
             for j in range(self.flat.shape[1]):
-                score += self.queries[part, j][:, None] * self.flat[rows, j][None, :]
-            score = np.ldexp(score, self.powers[part][:, None])
+                exact += self.queries[part[who_at], j] * self.flat[rows[row_at], j]
+            score = np.full(near.shape, -np.inf)
+            score[who_at, row_at] = np.ldexp(exact, self.powers[part[who_at]])
             both = np.concatenate([self.best[part], score], axis=1)
-            names = np.concatenate([self.rows[part], np.broadcast_to(rows, score.shape)], axis=1)
+            names = np.concatenate([self.rows[part], np.where(near, rows[None, :], -1)], axis=1)
             k = self.best.shape[1]
             order = np.lexsort((self.names[names], -both), axis=1)[:, :k]
             self.best[part], self.rows[part] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)

@@ -8,7 +8,8 @@ import pyarrow.parquet as pq
 from palimpsest.llm import quality
 
 
-def plain(text):
+def plain(text, at_least=8):
+    """The measures; the longest repeat counts from so many words."""
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     n = len(words)
     inside = {8: set(), 5: set()}
@@ -22,13 +23,15 @@ def plain(text):
         if re.search(r"[^\x20\x09-\x0D]", line):
             repeated += line in seen
             seen.add(line)
-    longest = next((k for k in range(n, 7, -1) if any(v > 1 for v in collections.Counter(tuple(words[i : i + k]) for i in range(n - k + 1)).values())), 0)
+    twice = lambda k: len({tuple(words[i : i + k]) for i in range(n - k + 1)}) < n - k + 1
+    longest = next((k for k in range(n, at_least - 1, -1) if twice(k)), 0) if n >= at_least and twice(at_least) else 0
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), repeated, len(inside[8]), len(inside[5]), longest
 
 
 def keeps(text):
     """The verdict at the defaults."""
-    n, _, _, _, repeated, covered, longest = plain(text)
+    n = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    _, _, _, _, repeated, covered, longest = plain(text, max(200, int(0.05 * n)) + 1)
     return n >= 20 and 100 * repeated <= 30 * n and covered <= 0.3 * n and not (longest > 200 and longest > 0.05 * n)
 
 
