@@ -28,15 +28,17 @@ _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
 _BASE = _U(0x9E6C63D0876A9A47)
 _powers = np.cumprod(np.full(64, _BASE, np.uint64))
+_downs = np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = x ^ (x >> _U(31))
-    x = x * _U(0x7FB5D329728EA185)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x81DADEF4BC2DD44D)
-    return x ^ (x >> _U(33))
+    x *= _U(0x7FB5D329728EA185)
+    x ^= x >> _U(27)
+    x *= _U(0x81DADEF4BC2DD44D)
+    x ^= x >> _U(33)
+    return x
 
 
 def powers(n: int) -> np.ndarray:
@@ -47,6 +49,16 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+def _inverse_powers(n: int) -> np.ndarray:
+    """At least n successive powers of the hash base's inverse modulo 2**64, from the power 0 on."""
+    global _downs
+    if len(_downs) < n:
+        factors = np.full(max(n, 2 * len(_downs)), pow(int(_BASE), -1, 1 << 64), np.uint64)
+        factors[0] = 1
+        _downs = np.cumprod(factors)
+    return _downs
+
+
 @dataclass
 class Chunk:
     """Some documents of a batch: their rows, bytes, and byte offsets (one more than rows)."""
@@ -118,20 +130,31 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
+    values = _FOLDED if fold_case else _BYTES
+    if len(buf) <= 4 * CHUNK_BYTES:
+        # sums over the whole buffer; a word's place in it is divided out again
+        up, down = powers(len(buf)), _inverse_powers(len(buf))
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(values[buf] * up[: len(buf)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * down[starts] + lens.astype(np.uint64))
     heads = np.cumsum(lens) - lens
     place = np.arange(int(lens.sum())) - np.repeat(heads, lens)
     at = place + np.repeat(starts, lens)
-    value = (_FOLDED if fold_case else _BYTES)[buf[at]]
+    value = values[buf[at]]
     value *= powers(int(lens.max()))[place]
     return mix(np.add.reduceat(value, heads) + lens.astype(np.uint64))
 
 
 def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words that begin at each position; the last k - 1 wrap and are to be ignored."""
-    out = np.zeros(len(hashes), np.uint64)
+    n = len(hashes)
+    around = np.resize(hashes, n + k - 1) if n else hashes
+    out = np.zeros(n, np.uint64)
     for j in range(k):
-        out = out * _U(0xD1342543DE82EF95) + np.roll(hashes, -j)
-    return mix(out + _U(k))
+        out *= _U(0xD1342543DE82EF95)
+        out += around[j : j + n]
+    out += _U(k)
+    return mix(out)
 
 
 def code_points(buf: np.ndarray) -> np.ndarray:
